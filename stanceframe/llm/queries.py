@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
 from .exact_dedup import exact_groups
+from .near_dedup import near_groups
 from .packing import pack_documents
+from .rule_ensemble import score_documents
 from .sentencepiece_merge import round_trip
 from .separator_scan import count_documents
 from .token_files import write_and_read
+from .url_filter import Rule, built_in_model, judge
+
+URL_RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +30,18 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read_table(spark, sf_dir, "pages"), URL_RULES, built_in_model(spark))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -37,7 +50,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=50256)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_vector_packing, op5_sentencepiece, op7_token_files, op8_token_counts)}
+def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(read_table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_vector_packing, op4_rule_ensemble, op5_sentencepiece, op6_url_filter, op7_token_files, op8_token_counts, op9_minmax_near_dedup)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
