@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterable
 
 import numpy as np
@@ -13,6 +14,7 @@ CACHE_CHUNKS = 500_000
 #: Byte-level vocabularies attach one space to what follows, so a text may be cut before a space or around a line end
 #: unless white space stands beside it.
 _LEADING = re.compile(r" ?[^ \n]+|\n| ")
+_LATIN = frozenset(c for i in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if (c := chr(i)).isalpha())
 _RUN = re.compile(r"\s[ \n]|[ \n]\s")
 
 
@@ -45,7 +47,7 @@ class ChunkEncoder:
 
     def __init__(self, path: str, cut: str, ordinary: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = ordinary
@@ -53,6 +55,10 @@ class ChunkEncoder:
         # new chunks are encoded many at a time, with something between them that joins neither side
         special = next(iter(self.library.get_added_tokens_decoder().values())).content
         self.between = "\n" if cut == "leading" else None if ordinary else special
+        self.model = self.library.model
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelled = {ord(c): spell(c)[0][0] for c in _LATIN}
+        self.tails = {t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"}
         if self.between:
             (self.between_id,) = self.library.encode(self.between, add_special_tokens=False).ids
 
@@ -68,6 +74,28 @@ class ChunkEncoder:
             return text.replace("\n", " ").split(" ")
         return [text] if _RUN.search(text) else _LEADING.findall(text)
 
+    def _plain(self, chunk: str) -> bytes | None:
+        """The ids of ASCII and Latin-1 letters, perhaps with a space before and a stop behind, straight from the library's merges.
+
+        Such a chunk is one stretch for the vocabulary's pattern and one for the stop, and no normal form changes it.
+        """
+        tail = self.tails.get(chunk[-1])
+        word = chunk[:-1] if tail else chunk
+        space = self.cut == "leading" and word[:1] == " "
+        letters = word[1:] if space else word
+        ascii_only = letters.isascii()
+        if not (letters.isalpha() if ascii_only else _LATIN.issuperset(letters)):
+            return None
+        if self.cut == "word":
+            letters = word = letters.lower()
+        found = self.recent.fresh.get(word) or self.recent.old.get(word)
+        if found is None:
+            if not ascii_only:
+                letters = letters.translate(self.spelled)
+            found = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize("Ġ" + letters if space else letters)]) else b""
+            self.recent.fresh[word] = found
+        return found + tail if tail else found
+
     def _many(self, chunks: list[str]) -> Iterable[bytes]:
         if self.between and len(chunks) > 1:
             ids = np.array(self.library.encode(self.between.join(chunks), add_special_tokens=False).ids, "<u4")
@@ -84,13 +112,18 @@ class ChunkEncoder:
         lacking = self.recent.missing(set().union(*chunks))
         cache, alone = self.recent.fresh, {}
         # white space at an end could join what stands between; long chunks would fill the cache with what never comes again
-        plain = [c for c in lacking if len(c) <= 64 and c and not c[-1].isspace() and not c[0] == "\n"]
-        odd = list(set(lacking).difference(plain))
-        for at in range(0, len(plain), 1024):
-            part = plain[at : at + 1024]
+        rest = []
+        for chunk in lacking:
+            ids = self._plain(chunk) if chunk and len(chunk) <= 64 else None
+            if ids is not None:
+                cache[chunk] = ids
+            elif len(chunk) <= 64 and chunk and not chunk[-1].isspace() and chunk[0] != "\n":
+                rest.append(chunk)
+            else:
+                (cache if len(chunk) <= 64 else alone)[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        for at in range(0, len(rest), 256):
+            part = rest[at : at + 256]
             cache.update(zip(part, self._many(part), strict=True))
-        for chunk in odd:
-            (cache if len(chunk) <= 64 else alone)[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
         if alone:
             return [b"".join([cache[c] if c in cache else alone[c] for c in part]) for part in chunks]
         look = cache.__getitem__

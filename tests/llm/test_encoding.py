@@ -21,7 +21,7 @@ WORD, BYTE, PIECE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "b
 
 def random_texts(n, seed=3):
     rnd = random.Random(seed)
-    alphabet = ["the", "an", "ion", "aaaa", " ", " ", "  ", "\n", "\t", "▁", "é", "日", "\x00", "́", "<s>", "'s", "12", "!!", "ﬁ", "\xa0"]
+    alphabet = ["the", "an", "ion", "aaaa", " ", " ", "  ", "\n", "\t", "▁", "é", "日", "\x00", "́", "<s>", "'s", "12", "!!", "Été", "ß", "Ä", "über", "don't", ".", ",", "Word", "ﬁ", "\xa0"]
     return ["".join(rnd.choices(alphabet, k=rnd.randint(0, 40))) for _ in range(n)]
 
 
