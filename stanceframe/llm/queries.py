@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .cover_tree import cosine_links
 from .exact_dedup import exact_groups
+from .line_dedup import dedup_lines
 from .near_dedup import near_groups
 from .packing import pack_documents
 from .rule_ensemble import score_documents
@@ -30,6 +32,10 @@ def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cosine_links(read_table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -54,7 +60,11 @@ def op9_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(read_table(spark, sf_dir, "documents"), width=4, percent=80)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_vector_packing, op4_rule_ensemble, op5_sentencepiece, op6_url_filter, op7_token_files, op8_token_counts, op9_minmax_near_dedup)}
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op2_vector_packing, op3_cover_tree, op4_rule_ensemble, op5_sentencepiece, op6_url_filter, op7_token_files, op8_token_counts, op9_minmax_near_dedup, op10_fuzzy_lines)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": """
