@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
@@ -114,3 +115,32 @@ class MembershipFilter:
         at = _places(np.ascontiguousarray(keys, np.int64), self.bits)
         hit = (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
         return hit.reshape(5, -1).all(axis=0)
+
+
+def without_rows(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``decisions`` (doc_id, kept and, perhaps, text_sha256) keeps, all columns.
+
+    Only rows that pass a membership filter of what goes are joined, so texts that stay are not shuffled. With
+    text_sha256 a decision is on identifier and text, and of rows that repeat both one stays.
+    """
+    by_text = "text_sha256" in decisions.columns
+    keys = ["doc_id", "text_sha256"] if by_text else ["doc_id"]
+    decided = decisions.groupBy(*keys).agg(F.max("kept").alias("kept"), F.min("kept").alias("all_kept"))
+    gone = materialize(decided.where("not all_kept").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("kept").alias("__kept")), "gone")
+    ids = gone.select("__doc_id").where("__doc_id is not null")
+    passes = MembershipFilter(ids, ids.count())
+
+    @F.pandas_udf("boolean")
+    def maybe(column: pd.Series) -> pd.Series:
+        null = column.isna().to_numpy()
+        return pd.Series(passes(column.fillna(0).to_numpy().astype(np.int64)) | null)
+
+    marked = docs.withColumn("__maybe", maybe(F.col(id_col).cast("bigint")))
+    some = marked.where("__maybe").drop("__maybe").withColumn("__text", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc_id"))
+    found = some.join(gone, (same & (F.col("__text") == F.col("__text_sha256"))) if by_text else same, "left")
+    stay = found.where("__kept is null")
+    if by_text:
+        one = found.where("__kept").dropDuplicates(["__doc_id", "__text_sha256"])
+        stay = stay.unionByName(one)
+    return marked.where("not __maybe").select(*docs.columns).unionByName(stay.select(*docs.columns))

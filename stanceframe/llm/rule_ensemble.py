@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from operator import eq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,8 +79,8 @@ class Term:
     def holds(self, x: np.ndarray) -> np.ndarray:
         return x[:, self.statistic] > self.bound if self.above else x[:, self.statistic] <= self.bound
 
-    def column(self) -> Column:
-        c = F.col(STATISTICS[self.statistic])
+    def column(self, prefix: str = "") -> Column:
+        c = F.col(prefix + STATISTICS[self.statistic])
         return c > self.bound if self.above else c <= self.bound
 
 
@@ -90,13 +91,13 @@ class RuleModel:
     bias: float
     rules: list[tuple[float, tuple[Term, ...]]] = field(default_factory=list)
 
-    def column(self) -> Column:
+    def column(self, prefix: str = "") -> Column:
         """The score, 0 to 1, as an expression over the statistics."""
         total = F.lit(float(self.bias))
         for weight, terms in self.rules:
-            holds = terms[0].column()
+            holds = terms[0].column(prefix)
             for t in terms[1:]:
-                holds = holds & t.column()
+                holds = holds & t.column(prefix)
             total = total + F.when(holds, float(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-total))
 
@@ -188,15 +189,16 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == HELD_OUT, F.lit(False))
 
 
-def train(stats: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS) -> RuleModel:
+def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Learn from at most ``train_rows`` labelled documents that are not held out; null identifiers and labels are left out.
 
     A document with several labels counts with the smallest of them.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # bounded by its parameter
-    rows = stats.join(F.broadcast(sample), "doc_id").select("doc_id", "label", *STATISTICS).limit(4 * train_rows).toArrow().sort_by("doc_id")
+    sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labelled")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # ``train_rows`` bounds it
+    rows = statistics(texts).limit(4 * train_rows).join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
     x = np.stack([rows[s].to_numpy() for s in STATISTICS], axis=1) if rows.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, rows["label"].to_numpy().astype(float))
 
@@ -208,6 +210,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.
     Repeated rows are scored each; a null identifier is not held out. Other columns are not read. Without labels every
     score is 0.5. An empty table gives no rows.
     """
-    stats = materialize(statistics(docs, id_col, text_col), "statistics")
-    score = train(stats, labels, train_rows=train_rows).column()
-    return stats.select("doc_id", held_out().alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    score = train(docs, labels, train_rows=train_rows, id_col=id_col, text_col=text_col).column()
+    scored = statistics(docs, id_col, text_col).select("doc_id", held_out().alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score reaches ``threshold``; one pass, nothing is shuffled."""
+    model, name = train(docs, labels, train_rows=train_rows, id_col=id_col, text_col=text_col), "__statistics"
+
+    @F.pandas_udf(", ".join(f"{s} double" for s in STATISTICS))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_statistics(t or "") for t in texts], columns=STATISTICS)
+
+    return docs.withColumn(name, measured(F.col(text_col))).where(model.column(name + ".") >= threshold).drop(name)
