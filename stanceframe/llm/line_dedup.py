@@ -122,7 +122,11 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
 
         return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
-    labels = link_components(lines.where("size(bands) > 0").select("id", "bands"), texts, agree).withColumnRenamed("id", "first")
+    def shingles(column: pa.Array) -> list[np.ndarray]:
+        hashes, counts = char_shingles(column.to_pylist(), width)
+        return [np.unique(s) for s in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
+
+    labels = link_components(lines.where("size(bands) > 0").select("id", "bands"), texts, agree, shingles, percent).withColumnRenamed("id", "first")
     placed = lines.select("doc_id", "row", "line", "first").join(labels, "first", "left").select("doc_id", "row", "line", F.coalesce("component", "first").alias("component"))
     placed = materialize(placed, "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import MembershipFilter, materialize
 
-#: Pivots of a bucket in the second round; each later round takes four times as many.
-FIRST_PIVOTS = 2
+#: Buckets that shingles are counted in, as a power of two.
+SKETCH_BITS = 19
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -51,14 +53,61 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(over, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
 
 
-def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame], agree: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _order(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Shingles with the rare ones first; the same total order for all sets."""
+    bucket = (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return shingles[np.lexsort((shingles, heavy[bucket]))]
+
+
+def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """Pairs (a, b) across components that can reach the similarity, of sets (id, component, stray, payload), one stray at least.
+
+    Sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all;
+    rare ones come first here, so what is special to a text proposes its partners. How rare a shingle is comes from
+    counts of 2**SKETCH_BITS hash buckets, which are all that reaches the driver and the tasks.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for s in shingles(batch.column(0)):
+                np.add.at(total, (s.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"bucket": at, "n": total[at]})
+
+    counted = sets.select("payload").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    heavy = np.zeros(1 << SKETCH_BITS, np.int64)
+    heavy[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = shingles(batch.column(3))
+            sizes = np.array([len(s) for s in found], np.int64)
+            lengths = sizes - -(-percent * sizes // 100) + 1
+            each = np.repeat(np.arange(len(found)), lengths)
+            place = np.concatenate([np.arange(k) for k in lengths]) if len(found) else each
+            values = np.concatenate([_order(s, heavy)[:k] for s, k in zip(found, lengths, strict=True)]).view(np.int64) if len(found) else each
+            taken = [c.take(pa.array(each)) for c in batch.columns[:3]]
+            yield pa.record_batch([*taken, pa.array(values), pa.array(place), pa.array(sizes[each])], names=["id", "component", "stray", "shingle", "place", "n"])
+
+    first = materialize(sets.select("id", "component", "stray", "payload").mapInArrow(prefixes, "id bigint, component bigint, stray boolean, shingle bigint, place bigint, n bigint"), "prefixes")
+    x = first.where("stray").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "place", "n")])
+    y = first.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "place", "n")])
+    # what can still be shared from the first common shingle on
+    reach = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * (F.col("n_x") + F.col("n_y"))
+    return x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component_x") != F.col("component_y")) & reach).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+
+
+def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame], agree: Callable[[DataFrame], DataFrame], shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """(id, component) of the nodes that verified links join, given ``bands`` (id bigint, bands array<bigint>).
 
     Nodes that share a band key are in one bucket. The components are those of the graph of *all* pairs within buckets
-    that ``agree`` confirms, yet few pairs are looked at: first every member against the bucket's smallest one; then, only
-    where a bucket still lies in several components, growing numbers of members outside its largest component against
-    the members of other components, until each was tried. ``payload(ids)`` gives (id, payload); ``agree`` filters
-    (a, b, x, y), x and y the payloads of a and b, to the (a, b) that are links.
+    that ``agree`` confirms, without looking at all of them: first every member meets the bucket's smallest one; then,
+    among the members of buckets that still lie in several components, pairs of different components are proposed by
+    their rarest shingles (`_prefix_pairs`), which loses none.
+
+    ``payload(ids)`` gives (id, payload); ``agree`` filters (a, b, x, y), x and y the payloads of a and b, to the links,
+    which must be the pairs whose ``shingles`` (distinct, as 64-bit words) have a Jaccard similarity of ``percent`` at least.
     """
     keys = bands.select("id", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("of")).where("n > 1")
@@ -69,15 +118,12 @@ def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame],
         return bands.select("id", F.col("id").alias("component")).where("false")
     passes = MembershipFilter(shared.select("key"), n)
 
-    def passing(batches):
-        import numpy as np
-        import pyarrow as pa
-
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = batch.column(0).to_numpy(), batch.column(1)
-            flat, offsets = values.flatten().to_numpy(), np.diff(values.offsets.to_numpy())
+            flat, sizes = values.flatten().to_numpy(), np.diff(values.offsets.to_numpy())
             hit = passes(flat)
-            yield pa.record_batch({"id": np.repeat(ids, offsets)[hit], "key": flat[hit]})
+            yield pa.record_batch({"id": np.repeat(ids, sizes)[hit], "key": flat[hit]})
 
     members = bands.mapInArrow(passing, "id bigint, key bigint").join(shared.select("key", "pivot"), "key")
     members = materialize(members.select("key", "id", "pivot"), "members")
@@ -88,23 +134,14 @@ def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame],
         y = data.select(F.col("id").alias("b"), F.col("payload").alias("y"))
         return materialize(agree(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")).select("a", "b"), "links")
 
-    tried = materialize(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    labels = components(verified(tried))
-    used = shared.select("key", F.col("pivot").alias("id"))
-    pivots = FIRST_PIVOTS
-    while True:
-        placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-        largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        members = materialize(placed.join(largest, "key").select("key", "id", "component", "largest"), "members")
-        free = members.where("component <> largest").join(used, ["key", "id"], "left_anti")
-        order = Window.partitionBy("key").orderBy("id")
-        chosen = materialize(free.withColumn("at", F.row_number().over(order)).where(F.col("at") <= pivots).select("key", F.col("id").alias("p"), F.col("component").alias("of")), "pivots")
-        if chosen.isEmpty():
-            return labels
-        pairs = chosen.join(members, "key").where("component <> of").select(F.least("p", "id").alias("a"), F.greatest("p", "id").alias("b")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        labels = merged(labels, verified(pairs))
-        tried = tried.unionByName(pairs)
-        used = materialize(used.unionByName(chosen.select("key", F.col("p").alias("id"))), "used")
-        pivots *= 4
+    labels = components(verified(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # of two members in different components one at least is outside the bucket's largest component
+    open_ids = placed.join(largest, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
+    open_ids = materialize(open_ids, "open")
+    if open_ids.isEmpty():
+        return labels
+    pairs = materialize(_prefix_pairs(open_ids.join(data, "id"), shingles, percent), "pairs")
+    return merged(labels, verified(pairs))

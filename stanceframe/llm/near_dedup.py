@@ -77,7 +77,11 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: s
         both = F.size(F.array_intersect("x", "y")).cast("bigint")
         return pairs.withColumn("both", both).where((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.size("x") + F.size("y") - F.col("both"))))
 
-    labels = link_components(bands, sets, agree)
+    def shingles(column: pa.Array) -> list[np.ndarray]:
+        flat, offsets = column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
+        return np.split(flat, np.cumsum(offsets)[:-1]) if len(column) else []
+
+    labels = link_components(bands, sets, agree, shingles, percent)
     # an identifier that occurs with several sets joins their classes
     owned = named.join(classes, "digest").select("doc_id", "id").distinct()
     first = owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")

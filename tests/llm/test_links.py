@@ -35,11 +35,16 @@ def test_components(spark):
 
 def test_links_beyond_the_pivot(spark):
     """In one bucket only neighbours agree: stars around the pivot alone would find one link."""
-    bands = spark.createDataFrame([(i, [1, 100 + i]) for i in range(12)], "id bigint, bands array<bigint>")
-    payload = lambda ids: ids.withColumn("payload", F.col("id"))
-    agree = lambda pairs: pairs.where((F.abs(F.col("x") - F.col("y")) == 1) & (F.least("x", "y") != 5))
-    got = {r.id: r.component for r in links.link_components(bands, payload, agree).collect()}
-    assert {i: got.get(i, i) for i in range(12)} == {i: 0 if i < 6 else 6 for i in range(12)}
+    rng = np.random.default_rng(1)
+    hashes = np.sort(rng.integers(0, 1 << 63, 80, dtype=np.uint64))
+    sets = {i: (hashes[i : i + 10] if i != 30 else hashes[60:80]) for i in range(50)}
+    bands = spark.createDataFrame([(i, [1, 100 + i]) for i in sets], "id bigint, bands array<bigint>")
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "id bigint, payload array<bigint>")
+    both = F.size(F.array_intersect("x", "y"))
+    agree = lambda pairs: pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = {r.id: r.component for r in links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: 0 if i < 30 else 30 if i == 30 else 31 for i in sets}
 
 
 def word_sets(rows, width):
