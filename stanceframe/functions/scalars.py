@@ -96,12 +96,12 @@ def parse_hms(c: ColumnLike) -> Column:
 
 
 #: Cues in round brackets that are not speech.
-CUES = "laughs|laughing|laughter|chuckles|chuckling|sighs|applause|crosstalk|inaudible|music|pause|coughs"
+CUES = "laughs?|laughing|laughter|music|applause|crosstalk|inaudible|unintelligible|sighs?|pause|silence|noise|chuckles?|coughs?"
 
 
 def clean_text(c: ColumnLike) -> Column:
     """Text without [brackets] and cues."""
-    return collapse(F.regexp_replace(F.regexp_replace(col(c), r"\[[^\]]*\]", " "), rf"(?i)\((?:{CUES})[^)]*\)", " "))
+    return collapse(F.regexp_replace(F.regexp_replace(col(c), r"\[[^\]]*\]", " "), rf"(?i)\(\s*(?:{CUES})[^)]*\)", " "))
 
 
 def truncate(c: ColumnLike, limit: int) -> Column:

@@ -517,7 +517,7 @@ def parse_hms(spark, sf_dir):
     return c.select("conv_id", "turn", S.parse_hms(text).alias("seconds"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[x] (Laughs loudly) ' || left(text, 200), '\\[[^\\]]*\\]', ' ', 'g'), '\\((laughs|laughing|laughter|chuckles|chuckling|sighs|applause|crosstalk|inaudible|music|pause|coughs)[^)]*\\)', ' ', 'gi'), '\\s+', ' ', 'g')) AS text FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[x] (Laughs loudly) ' || left(text, 200), '\\[[^\\]]*\\]', ' ', 'g'), '\\(\\s*(laughs?|laughing|laughter|music|applause|crosstalk|inaudible|unintelligible|sighs?|pause|silence|noise|chuckles?|coughs?)[^)]*\\)', ' ', 'gi'), '\\s+', ' ', 'g')) AS text FROM documents""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.clean_text(F.concat(F.lit("[x] (Laughs loudly) "), F.substring("text", 1, 200))).alias("text"))
 
