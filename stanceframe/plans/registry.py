@@ -296,13 +296,13 @@ def cosine_topk(spark, sf_dir):
     return retrieval.cosine_topk(vectors(spark, sf_dir), PROBE, 20, id_col="vec_id").select("vec_id", *nine("score"))
 
 
-@query("""WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT m.vec_id AS mention_id, e.vec_id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score FROM m JOIN embeddings e ON e.label = m.label AND e.vec_id <> m.vec_id)
+@query("""WITH m AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT m.vec_id AS mention_id, e.vec_id, list_cosine_similarity(m.v, e.embedding::DOUBLE[]) AS score FROM m JOIN embeddings e ON e.label = m.label)
 SELECT mention_id, vec_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
 def candidates_topk_by_type(spark, sf_dir):
     v = vectors(spark, sf_dir)
     mentions = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("mention_id"), F.col("label").alias("entity_type"), F.col("embedding").alias("vector"))
     entities = v.select("vec_id", F.col("label").alias("entity_type"), "embedding", F.col("vec_id").alias("insert_seq"))
-    return retrieval.topk_by_type(mentions, entities, 9).where("mention_id <> vec_id").select("mention_id", "vec_id", (F.col("rank") - 1).cast("bigint").alias("rank"), *nine("score"))
+    return retrieval.topk_by_type(mentions, entities, 5).select("mention_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), *nine("score"))
 
 
 DOCS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE lang = 'en')"
