@@ -85,3 +85,29 @@ def approach_score(run: DataFrame) -> DataFrame:
 
 def coverage(queries: DataFrame) -> DataFrame:
     return queries.agg(F.array_sort(F.collect_set("domain")).alias("domains"), F.array_sort(F.collect_set("archetype")).alias("archetypes"))
+
+
+def blinded(answers: DataFrame, seed: int) -> DataFrame:
+    """Answers (query_id, arm) with a label that hides the arm: the order of a seeded hash within the query."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "arm"), "arm")
+    return answers.withColumn("label", F.concat(F.lit("answer_"), F.char(F.row_number().over(order) + 64)))
+
+
+def unblinded(scores: DataFrame, key: DataFrame) -> DataFrame:
+    """Scores by (query_id, label) with the arm behind each label."""
+    return scores.join(key.select("query_id", "label", "arm"), ["query_id", "label"])
+
+
+def verified_citations(citations: DataFrame) -> DataFrame:
+    """Verified and rejected citations of each answer (query_id, arm)."""
+    return citations.groupBy("query_id", "arm").agg(F.count_if("verified").alias("n_verified"), F.count_if(~F.col("verified")).alias("n_rejected"))
+
+
+def recommend(a: dict[str, float], b: dict[str, float]) -> str:
+    """Quality plus cheapness plus throughput, each against the better one; ties go to b."""
+    top = max(a["episodes_per_minute"], b["episodes_per_minute"]) or 1.0
+    cost = max(a["cost_per_episode"], b["cost_per_episode"]) or 1.0
+    value = lambda x: (x["valid_span_rate"] + x["valid_attribution_rate"]) / 2 + 1 - x["cost_per_episode"] / cost + x["episodes_per_minute"] / top
+    return "a" if value(a) > value(b) else "b"

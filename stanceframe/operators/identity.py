@@ -119,3 +119,53 @@ def cluster_forms(forms: DataFrame, threshold: float = 0.85) -> DataFrame:
 
     clustered = forms.groupBy("entity_type").applyInPandas(run, "entity_type string, form string, seed string")
     return clustered.withColumn("canonical_id", content_id("ent", "entity_type", "seed", digits=12))
+
+
+RESOLVED = "entity_type string, form string, canonical_id string, tier string"
+
+
+def resolve_incremental(forms: DataFrame, store: DataFrame, thresholds: Mapping[str, tuple[float, float]] = THRESHOLDS) -> DataFrame:
+    """(entity_type, form, canonical_id, tier) of forms (entity_type, form, name, qid, vector, seq) against a store, in order.
+
+    Each form sees what the forms before it have added: by qid, then normal name or alias, then the nearest vector at the
+    type's upper threshold; else it is new, ``wd-<qid>`` or a content id. Sequential by definition, so a type is one group;
+    only forms that no name in the store equals need it, which a join has settled before.
+    """
+    known = exact_matches(forms.select("form", "entity_type", "name").withColumnRenamed("form", "mention_id"), store)
+    open_forms = forms.join(known.select(F.col("mention_id").alias("form"), F.lit(True).alias("hit")), "form", "left").where("hit is null or qid is not null").drop("hit")
+    minted = content_id("ent", "entity_type", "form", digits=12)
+    fresh = open_forms.withColumn("minted", F.coalesce(F.concat(F.lit("wd-"), "qid"), minted))
+
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        qids, names, vectors = {}, {}, []
+        unit = lambda v: [x / n for x in v] if (n := math.sqrt(sum(x * x for x in v))) else list(v)
+        for r in old.sort_values("insert_seq").itertuples():
+            if isinstance(r.qid, str):
+                qids.setdefault(r.qid, r.canonical_id)
+            for key in r.keys:
+                names.setdefault(key, r.canonical_id)
+            if r.embedding is not None:
+                vectors.append((unit(r.embedding), r.canonical_id))
+        out = []
+        for r in new.sort_values("seq").itertuples():
+            v, qid = unit(r.vector) if r.vector is not None else None, r.qid if isinstance(r.qid, str) else None
+            tier, found = ("qid", qids[qid]) if qid in qids else ("exact", names[r.form]) if r.form in names else ("new", None)
+            if found is None and v is not None and vectors:
+                score, near = max(((sum(x * y for x, y in zip(v, w, strict=True)), i) for w, i in vectors), key=lambda s: s[0])
+                if score >= thresholds[r.entity_type][0]:
+                    tier, found = "embedding", near
+            found = found or r.minted
+            out.append((r.entity_type, r.form, found, tier))
+            names.setdefault(r.form, found)
+            if qid:
+                qids.setdefault(qid, found)
+            if v is not None:
+                vectors.append((v, found))
+        return pd.DataFrame(out, columns=["entity_type", "form", "canonical_id", "tier"])
+
+    aliases = F.concat(F.array("canonical_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    keyed = store.select("entity_type", "canonical_id", "qid", "embedding", "insert_seq", F.explode(aliases).alias("alias")).withColumn("key", normal_surface("alias"))
+    kept = keyed.groupBy("entity_type", "canonical_id").agg(F.min("qid").alias("qid"), F.min_by("embedding", "insert_seq").alias("embedding"), F.min("insert_seq").alias("insert_seq"), F.collect_set("key").alias("keys"))
+    solved = fresh.groupBy("entity_type").cogroup(kept.groupBy("entity_type")).applyInPandas(run, RESOLVED)
+    by_name = known.join(open_forms.select(F.col("form").alias("mention_id")), "mention_id", "left_anti").join(forms.select(F.col("form").alias("mention_id"), "entity_type"), "mention_id")
+    return solved.unionByName(by_name.select("entity_type", F.col("mention_id").alias("form"), "canonical_id", F.lit("exact").alias("tier")))

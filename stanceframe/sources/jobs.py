@@ -30,3 +30,9 @@ def content_dedupe(blobs: DataFrame, order_col: str) -> DataFrame:
     hashed = blobs.withColumn("content_hash", F.sha2("content", 256)).drop("content")
     first = hashed.groupBy("content_hash").agg(F.min(order_col).alias("first"))
     return hashed.join(first, "content_hash").withColumn("deduped", F.col(order_col) > F.col("first")).drop("first")
+
+
+def cache_misses(requests: DataFrame, cache: DataFrame | None, *parts: str) -> DataFrame:
+    """Requests with the key of their content that the cache (cache_key) does not hold, each key once."""
+    keyed = requests.withColumn("cache_key", F.sha2(F.to_json(F.struct(*parts)), 256)).dropDuplicates(["cache_key"])
+    return keyed if cache is None else keyed.join(cache.select("cache_key"), "cache_key", "left_anti")
