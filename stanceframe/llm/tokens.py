@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 from collections.abc import Iterable
 
 import numpy as np
 
 #: Distinct chunks of a generation of the cache; a worker remembers two generations.
-CACHE_CHUNKS = 500_000
-#: Byte-level vocabularies attach one space to what follows, so a text may be cut before a space or around a line end
-#: unless white space stands beside it.
-_LEADING = re.compile(r" ?[^ \n]+|\n| ")
+CACHE_CHUNKS = 400_000
+#: Marks the first chunk of a text, which no space precedes.
+_FIRST = "\x02"
 _LATIN = frozenset(c for i in (*range(65, 91), *range(97, 123), *range(0xC0, 0x100)) if (c := chr(i)).isalpha())
-_RUN = re.compile(r"\s[ \n]|[ \n]\s")
 
 
 class Recent:
@@ -59,6 +56,7 @@ class ChunkEncoder:
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelled = {ord(c): spell(c)[0][0] for c in _LATIN}
         self.tails = {t: np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in ".,"}
+        self.line_end = np.array(self.library.encode("\n", add_special_tokens=False).ids, "<u4").tobytes()
         if self.between:
             (self.between_id,) = self.library.encode(self.between, add_special_tokens=False).ids
 
@@ -70,19 +68,36 @@ class ChunkEncoder:
         return cls._made[key]
 
     def _chunks(self, text: str) -> list[str]:
+        """Keys of the pieces of a text.
+
+        A byte-level vocabulary attaches one space to what follows, so such a text is cut before spaces and line ends: a
+        key stands for itself with a space before it, with ``_FIRST`` for the first piece, with a line end for itself.
+        """
         if self.cut == "word":
             return text.replace("\n", " ").split(" ")
-        return [text] if _RUN.search(text) else _LEADING.findall(text)
+        return f"{_FIRST}{text}".replace("\n", " \n").split(" ")
+
+    def _piece(self, key: str) -> str:
+        if self.cut == "word" or key[0] == "\n":
+            return key
+        return key[1:] if key[0] == _FIRST else f" {key}"
+
+    def _uncut(self, key: str) -> bool:
+        """Whether white space stands beside a cut, so that the text must go to the library whole."""
+        if self.cut == "word":
+            return False
+        body = key[1:] if key[:1] in ("\n", _FIRST) else key
+        return key[:1] != _FIRST and not body or _FIRST in body or body.split() != [body] and bool(body)
 
-    def _plain(self, chunk: str) -> bytes | None:
-        """The ids of ASCII and Latin-1 letters, perhaps with a space before and a stop behind, straight from the library's merges.
+    def _plain(self, key: str) -> bytes | None:
+        """The ids of ASCII and Latin-1 letters, perhaps with a stop behind, straight from the library's merges.
 
-        Such a chunk is one stretch for the vocabulary's pattern and one for the stop, and no normal form changes it.
+        Such a piece is one stretch for the vocabulary's pattern and one for the stop, and no normal form changes it.
         """
-        tail = self.tails.get(chunk[-1])
-        word = chunk[:-1] if tail else chunk
-        space = self.cut == "leading" and word[:1] == " "
-        letters = word[1:] if space else word
+        tail = self.tails.get(key[-1])
+        word = key[:-1] if tail else key
+        lead = word[:1] if self.cut == "leading" and word[:1] in ("\n", _FIRST) else ""
+        letters = word[1:] if lead else word
         ascii_only = letters.isascii()
         if not (letters.isalpha() if ascii_only else _LATIN.issuperset(letters)):
             return None
@@ -92,12 +107,13 @@ class ChunkEncoder:
         if found is None:
             if not ascii_only:
                 letters = letters.translate(self.spelled)
-            found = struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.model.tokenize("Ġ" + letters if space else letters)]) else b""
-            self.recent.fresh[word] = found
+            ids = [t.id for t in self.model.tokenize(letters if lead or self.cut == "word" else f"Ġ{letters}")]
+            found = self.recent.fresh[word] = (self.line_end if lead == "\n" else b"") + struct.pack(f"<{len(ids)}I", *ids)
         return found + tail if tail else found
 
     def _many(self, chunks: list[str]) -> Iterable[bytes]:
-        if self.between and len(chunks) > 1:
+        # a piece that begins or ends in white space could join what stands between
+        if self.between and len(chunks) > 1 and not any("\n" in c for c in chunks):
             ids = np.array(self.library.encode(self.between.join(chunks), add_special_tokens=False).ids, "<u4")
             cuts = np.flatnonzero(ids == self.between_id)
             if len(cuts) == len(chunks) - 1:
@@ -108,23 +124,29 @@ class ChunkEncoder:
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        texts = list(texts)
         chunks = [self._chunks(t) for t in texts]
         lacking = self.recent.missing(set().union(*chunks))
-        cache, alone = self.recent.fresh, {}
-        # white space at an end could join what stands between; long chunks would fill the cache with what never comes again
-        rest = []
-        for chunk in lacking:
-            ids = self._plain(chunk) if chunk and len(chunk) <= 64 else None
-            if ids is not None:
-                cache[chunk] = ids
-            elif len(chunk) <= 64 and chunk and not chunk[-1].isspace() and chunk[0] != "\n":
-                rest.append(chunk)
+        cache, whole, rest, long = self.recent.fresh, set(), [], []
+        for key in lacking:
+            if key and len(key) <= 64 and (ids := self._plain(key)) is not None:
+                cache[key] = ids
+            elif self._uncut(key):
+                whole.add(key)
+            elif not key:
+                cache[key] = b""
+            elif len(key) > 64:  # would fill the cache with what never comes again
+                long.append(key)
             else:
-                (cache if len(chunk) <= 64 else alone)[chunk] = np.array(self.library.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+                rest.append(key)
         for at in range(0, len(rest), 256):
             part = rest[at : at + 256]
-            cache.update(zip(part, self._many(part), strict=True))
-        if alone:
-            return [b"".join([cache[c] if c in cache else alone[c] for c in part]) for part in chunks]
-        look = cache.__getitem__
-        return [b"".join(map(look, part)) for part in chunks]
+            cache.update(zip(part, self._many([self._piece(k) for k in part]), strict=True))
+        alone = {key: self._library(self._piece(key)) for key in long}
+        look = cache.__getitem__ if not alone else lambda key: alone[key] if key in alone else cache[key]
+        if not whole:
+            return [b"".join(map(look, part)) for part in chunks]
+        return [b"".join(map(look, part)) if whole.isdisjoint(part) else self._library(text) for text, part in zip(texts, chunks, strict=True)]
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
