@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles at once; a longer text is handled alone and whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bounds of the membership filter that is sent to executors: 2 KB to 32 MB.
 FILTER_BITS = (14, 28)
 

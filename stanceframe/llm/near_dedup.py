@@ -26,7 +26,7 @@ BANDS, ROWS = 32, 4
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = MinWise(BANDS, ROWS, both=True)
-        for batch in slices(batches, limit=2 << 20):
+        for batch in slices(batches, limit=1 << 19):
             sets = word_shingles(text_column(batch), width)
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
@@ -65,7 +65,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: s
                     row = column[i].as_py(), hash(batch.column(1)[i].as_py())
                     hit[i] = row not in seen
                     seen.add(row)
-                for part in slices([batch.filter(pa.array(hit))], limit=2 << 20):
+                for part in slices([batch.filter(pa.array(hit))], limit=1 << 19):
                     found = word_shingles(text_column(part), width)
                     offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in found])], pa.int32())
                     values = pa.array(np.concatenate(found).view(np.int64))
