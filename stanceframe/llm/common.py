@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 #: Bounds of the membership filter that is sent to executors: 2 KB to 32 MB.
 FILTER_BITS = (14, 28)
+#: Bits of the piece of it that a task sends as one row.
+_SEGMENT_BITS = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,12 +51,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the column ``text`` of each holds about ``limit`` bytes; rows stay whole and in order."""
+    """Cut batches so that the column ``text`` of each holds about ``limit`` bytes (of a list: items); rows stay whole and in order."""
     for batch in batches:
         if not batch.num_rows:
             continue
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+        length = pa.compute.list_value_length if pa.types.is_list(column.type) else pa.compute.binary_length
+        sizes = np.asarray(pa.compute.fill_null(length(column), 0)).astype(np.int64)
         ends, start = np.cumsum(sizes), 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
@@ -96,18 +99,27 @@ class MembershipFilter:
         column = keys.columns[0]
         self.bits = bits = int(min(FILTER_BITS[1], max(FILTER_BITS[0], np.ceil(np.log2(max(1, n_keys) * 10)))))
 
-        def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = min(1 << bits, _SEGMENT_BITS)
+
+        def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
             for batch in batches:
-                values = batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                at = np.unique(_places(values, bits))
-                word, bit = at >> np.uint64(6), np.left_shift(np.uint64(1), at & np.uint64(63))
-                starts = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(word) else np.zeros(0, int)
-                merged = np.bitwise_or.reduceat(bit, starts) if len(word) else bit
-                yield pa.record_batch({"word": word[starts].astype(np.int64), "bit": merged.view(np.int64)})
-
-        rows = keys.select(column).mapInArrow(words, "word bigint, bit bigint").groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
-        self.words = np.zeros(1 << max(0, bits - 6), np.uint64)
-        self.words[rows["word"].to_numpy()] = rows["bit"].to_numpy().view(np.uint64)
+                at = _places(batch.column(0).drop_null().to_numpy(zero_copy_only=False).astype(np.int64), bits).astype(np.int64)
+                at.sort()
+                for part in np.split(at, np.flatnonzero(np.diff(at // size)) + 1) if len(at) else []:
+                    found.setdefault(int(part[0] // size), np.zeros(size, bool))[part % size] = True
+            yield pa.record_batch({"segment": pa.array(list(found), pa.int64()), "bits": pa.array([np.packbits(x, bitorder="little").tobytes() for x in found.values()], pa.binary())})
+
+        def union(table: pa.Table) -> pa.Table:
+            merged = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()])
+            return pa.table({"segment": table["segment"][:1], "bits": pa.array([merged.tobytes()], pa.binary())})
+
+        schema = "segment bigint, bits binary"
+        rows = keys.select(column).mapInArrow(segments, schema).groupBy("segment").applyInArrow(union, schema).toArrow()
+        whole = np.zeros((1 << bits) // 8, np.uint8)
+        for segment, raw in zip(rows["segment"].to_pylist(), rows["bits"].to_pylist(), strict=True):
+            whole[segment * size // 8 : (segment + 1) * size // 8] = np.frombuffer(raw, np.uint8)
+        self.words = whole.view("<u8")
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(keys):

@@ -1,6 +1,6 @@
 """Fuzzy line dedup: MinHash over character shingles.
 
-Each line (cut at line ends, stripped, A-Z lower-cased) has the set of its ``WIDTH``-character shingles; a line of fewer
+Each line (cut at line ends, without ASCII white space at its ends, A-Z lower-cased) has the set of its ``WIDTH``-character shingles; a line of fewer
 characters is one shingle. ``BANDS`` bands of ``ROWS`` minima propose links (a pair at similarity 0.8 is missed with a
 probability of 2e-4, at 0.9 of 1e-7), the sets of the whole lines confirm them, and distributed union-find
 (`links.link_components`) makes components, of which the line that comes first by (doc_id, line number) stays.
@@ -27,17 +27,25 @@ from .shingles import MinWise, char_shingles
 WIDTH, BANDS, ROWS, PERCENT = 8, 16, 4, 80
 #: Distinct lines that a task points to; beyond it the oldest half is forgotten, which only proposes equal lines twice.
 REMEMBERED = 200_000
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LINE = "doc_id bigint, row bigint, line int, id bigint, first bigint, head bigint, tail bigint, bands array<bigint>"
 
 
+def normal_lines(text: str) -> list[bytes]:
+    """The lines of a text in UTF-8, A-Z lower-cased, without ASCII white space at their ends; blank ones are empty."""
+    return [line.strip() for line in text.encode().lower().split(b"\n")]
+
+
 def normal(line: str) -> str:
-    return line.strip().translate(_UPPER)
+    return line.encode().lower().strip().decode()
+
+
+def _digest(line: bytes) -> bytes:
+    return hashlib.blake2b(line, digest_size=16).digest()
 
 
-def _digest(line: str) -> tuple[int, int]:
-    raw = hashlib.blake2b(line.encode(), digest_size=16).digest()
-    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
+def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
@@ -47,33 +55,40 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
         hashing = MinWise(BANDS, ROWS, both=False)
         base = TaskContext.get().partitionId() << 40
         next_id = row = base
-        fresh: dict[tuple[int, int], int] = {}
-        old: dict[tuple[int, int], int] = {}
-        for batch in slices(batches, limit=1 << 20):
-            out, new, owners = [], [], []
+        fresh: dict[bytes, int] = {}
+        old: dict[bytes, int] = {}
+        for batch in slices(batches, limit=1 << 19):
+            docs_of, rows_of, numbers, firsts, digests, new, owners = [], [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_column(batch), strict=True):
-                for number, line in enumerate(text.split("\n")):
-                    if line := normal(line):
+                for number, line in enumerate(normal_lines(text)):
+                    if line:
                         key = _digest(line)
                         first = fresh.get(key)
-                        if first is None and (first := old.get(key)) is None:
-                            first = next_id
-                            owners.append(len(out))
-                            new.append(line)
-                        fresh[key] = first
-                        out.append((doc_id, row, number, next_id, first, *key))
-                        next_id += 1
+                        if first is None:
+                            first = old.get(key)
+                            if first is None:
+                                first = next_id + len(digests)
+                                owners.append(len(digests))
+                                new.append(line.decode())
+                            fresh[key] = first
+                        docs_of.append(doc_id)
+                        rows_of.append(row)
+                        numbers.append(number)
+                        firsts.append(first)
+                        digests.append(key)
                 row += 1
             if len(fresh) > REMEMBERED:
                 fresh, old = {}, fresh
-            if not out:
+            if not digests:
                 continue
             keys = hashing.keys(*char_shingles(new, width)) if new else np.zeros((0, BANDS), np.int64)
-            sizes = np.zeros(len(out), np.int32)
+            sizes = np.zeros(len(digests), np.int32)
             sizes[owners] = BANDS
             bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(keys.ravel()))
-            columns = [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))]
-            yield pa.record_batch([*columns, bands], names=["doc_id", "row", "line", "id", "first", "head", "tail", "bands"])
+            head, tail = _halves(digests)
+            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.arange(next_id, next_id + len(digests))), pa.array(firsts, pa.int64()), pa.array(head), pa.array(tail), bands]
+            next_id += len(digests)
+            yield pa.record_batch(columns, names=["doc_id", "row", "line", "id", "first", "head", "tail", "bands"])
 
     return docs.mapInArrow(run, _LINE)
 
@@ -100,15 +115,19 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
         passes = MembershipFilter(wanted.select("head"), wanted.count())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seen: set[tuple[int, int]] = set()
-            for batch in slices(batches):
-                found = [(x, line) for t in text_column(batch) for line in map(normal, t.split("\n")) if line and (x := _digest(line)) not in seen]
-                hit = passes(np.array([x[0] for x, _ in found], np.int64))
-                out = {found[i][0]: found[i][1] for i in np.flatnonzero(hit)}
+            seen: set[bytes] = set()
+            for batch in slices(batches, limit=1 << 20):
+                lines_of = [line for t in text_column(batch) for line in normal_lines(t) if line]
+                digests = [*map(_digest, lines_of)]
+                out: dict[bytes, bytes] = {}
+                for i in np.flatnonzero(passes(_halves(digests)[0])) if digests else ():
+                    if digests[i] not in seen:
+                        out[digests[i]] = lines_of[i]
                 seen.update(out)
                 if len(seen) > REMEMBERED:
                     seen.clear()
-                yield pa.record_batch([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(list(out.values()), pa.string())], names=["head", "tail", "payload"])
+                head, tail = _halves(list(out)) if out else (np.zeros(0, np.int64),) * 2
+                yield pa.record_batch([pa.array(head), pa.array(tail), pa.array([x.decode() for x in out.values()], pa.string())], names=["head", "tail", "payload"])
 
         found = docs.mapInArrow(run, "head bigint, tail bigint, payload string").join(wanted.select("head", "tail").distinct(), ["head", "tail"], "left_semi")
         found = found.groupBy("head", "tail").agg(F.min("payload").alias("payload"))

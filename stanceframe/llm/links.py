@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, materialize
+from .common import MembershipFilter, materialize, slices
 
 #: Buckets that shingles are counted in, as a power of two.
 SKETCH_BITS = 19
+#: Characters or shingles of payloads that are handled at once; a shingle takes eight bytes in several arrays.
+PART = 1 << 18
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -70,8 +72,9 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            for s in shingles(batch.column(0)):
-                np.add.at(total, (s.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+            for part in slices([batch], "payload", PART):
+                flat = np.concatenate([s.view(np.uint64) for s in shingles(part.column(0))])
+                total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.record_batch({"bucket": at, "n": total[at]})
 
@@ -80,13 +83,13 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
     heavy[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, "payload", PART):
             found = shingles(batch.column(3))
             sizes = np.array([len(s) for s in found], np.int64)
             lengths = sizes - -(-percent * sizes // 100) + 1
             each = np.repeat(np.arange(len(found)), lengths)
-            place = np.concatenate([np.arange(k) for k in lengths]) if len(found) else each
-            values = np.concatenate([_order(s, heavy)[:k] for s, k in zip(found, lengths, strict=True)]).view(np.int64) if len(found) else each
+            place = np.concatenate([np.arange(k) for k in lengths])
+            values = np.concatenate([_order(s, heavy)[:k] for s, k in zip(found, lengths, strict=True)]).view(np.int64)
             taken = [c.take(pa.array(each)) for c in batch.columns[:3]]
             yield pa.record_batch([*taken, pa.array(values), pa.array(place), pa.array(sizes[each])], names=["id", "component", "stray", "shingle", "place", "n"])
 
@@ -134,7 +137,15 @@ def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame],
         y = data.select(F.col("id").alias("b"), F.col("payload").alias("y"))
         return materialize(agree(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")).select("a", "b"), "links")
 
-    labels = components(verified(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()))
+    # one pivot joins most members of a group; the others are asked only where they stand apart
+    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    labels = components(verified(first))
+    of = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    apart = stars.join(of, "a", "left").join(of.select(F.col("a").alias("b"), F.col("ca").alias("cb")), "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    rest = materialize(apart.join(first, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        labels = merged(labels, verified(rest))
     placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")

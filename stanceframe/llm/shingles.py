@@ -67,23 +67,42 @@ def char_shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]
 
     A line of fewer characters than ``width`` is one shingle.
     """
-    sizes = np.array([len(x) for x in lines])
+    sizes = np.array([len(x) for x in lines], np.int64)
     if not len(lines):
         return np.zeros(0, _U), sizes
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(_U) + _U(1)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4")
     counts = np.maximum(1, sizes - width + 1)
-    padded = np.r_[codes, np.zeros(width, _U)]
-    total = np.zeros(len(codes) + 1, _U)
-    for k in range(width):
-        total += padded[k : k + len(total)] * _MIX[k]
-    starts = np.cumsum(sizes) - sizes
-    first = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) + np.repeat(starts - first, counts)
-    found = total[at]
-    for i in np.flatnonzero(sizes < width):
-        s = codes[starts[i] : starts[i] + sizes[i]]
-        found[first[i]] = ((s * _MIX[: sizes[i]]).sum(dtype=_U, keepdims=True) + np.array([sizes[i] + 1], _U) * _MIX[width])[0]
-    return mix64(found), counts
+    out, ends, lo = np.empty(int(counts.sum()), _U), np.cumsum(sizes), 0
+    put = np.cumsum(counts)
+    while lo < len(lines):  # pieces that stay in the processor's cache
+        base = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, base + 16_384, side="right")))
+        part = codes[base : int(ends[hi - 1])].astype(_U)
+        part += _U(1)
+        hashes = np.zeros(len(part), _U)
+        if len(part) >= width:
+            found = _windows(part, width)
+            hashes[: len(found)] = found
+        long = np.repeat(sizes[lo:hi], sizes[lo:hi])
+        place = np.arange(len(part)) - np.repeat(ends[lo:hi] - base - sizes[lo:hi], sizes[lo:hi])
+        found = mix64(hashes[(place <= long - width) | (place == 0)])  # a short line has one place, filled below
+        first = int(put[lo - 1]) if lo else 0
+        for i in np.flatnonzero(sizes[lo:hi] < width):
+            s = codes[int(ends[lo + i] - sizes[lo + i]) : int(ends[lo + i])].astype(_U) + _U(1)
+            found[int(put[lo + i]) - 1 - first] = mix64((s * _MIX[: len(s)]).sum(dtype=_U, keepdims=True) + np.array([len(s) + 1], _U) * _MIX[width])[0]
+        out[first : first + len(found)] = found
+        lo = hi
+    return out, counts
+
+
+def _windows(x: np.ndarray, width: int) -> np.ndarray:
+    """A polynomial hash of every window, from hashes of windows half as wide."""
+    if width == 1:
+        return x
+    half = width // 2
+    h = _windows(x, half)
+    doubled = h[: len(x) - 2 * half + 1] * powers(half + 1)[half] + h[half : len(x) - half + 1]
+    return doubled if width % 2 == 0 else doubled[: len(x) - width + 1] * _BASE + x[width - 1 :]
 
 
 class MinWise:
