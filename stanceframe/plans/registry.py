@@ -519,7 +519,7 @@ def parse_hms(spark, sf_dir):
 
 @query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[x] (Laughs loudly) ' || left(text, 200), '\\[[^\\]]*\\]', ' ', 'g'), '\\(\\s*(laughs?|laughing|laughter|music|applause|crosstalk|inaudible|unintelligible|sighs?|pause|silence|noise|chuckles?|coughs?)[^)]*\\)', ' ', 'gi'), '\\s+', ' ', 'g')) AS text FROM documents""")
 def clean_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", S.clean_text(F.concat(F.lit("[x] (Laughs loudly) "), F.substring("text", 1, 200))).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.clean_text(F.concat(F.lit("[x] (Laughs loudly) "), "text")).alias("text"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS x, lag(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) OVER (PARTITION BY conv_id ORDER BY turn) AS y FROM conversations)
