@@ -32,3 +32,11 @@ def test_clean_text_keeps_the_whole_text(spark, tmp_path):
     got = {r.doc_id: r.text for r in registry.QUERIES["clean_text"](spark, str(tmp_path)).collect()}
     assert got == {1: "one two " * 40 + "the end", 2: "short", 3: None}
     assert by_spark(spark, SF, "clean_text") == by_sql(SF, "clean_text", ("left(text, 200)", "text"))
+
+
+def test_greedy_clusters_hold_every_vector(spark, tmp_path):
+    rows = [(i, [1.0, 0.0] if i < 510 else [0.0, 1.0], i % 2) for i in range(520)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label bigint").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.entity_type, r.form): r.seed for r in registry.QUERIES["greedy_clusters"](spark, str(tmp_path)).collect()}
+    # the longest form is first, of equals the smallest: form 100 and form 101 are the seeds of what equals them
+    assert got == {(f"type{i % 2}", f"form {i}"): f"form {100 + i % 2}" if i < 510 else f"form {510 + i % 2}" for i in range(520)}
