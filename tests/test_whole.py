@@ -8,6 +8,8 @@ from stanceframe.plans import registry
 
 from .test_queries import SF, norm
 
+SF2 = "/root/testdata/sf0.01"
+
 
 def by_sql(sf, name, *cuts):
     """Rows of the SQL of a query with each cut replaced."""
@@ -40,3 +42,8 @@ def test_greedy_clusters_hold_every_vector(spark, tmp_path):
     got = {(r.entity_type, r.form): r.seed for r in registry.QUERIES["greedy_clusters"](spark, str(tmp_path)).collect()}
     # the longest form is first, of equals the smallest: form 100 and form 101 are the seeds of what equals them
     assert got == {(f"type{i % 2}", f"form {i}"): f"form {100 + i % 2}" if i < 510 else f"form {510 + i % 2}" for i in range(520)}
+
+
+def test_orders_of_every_customer_count(spark):
+    for name, cut in (("bfs_hops", " WHERE o_custkey <= 200"), ("recurring_guests", " WHERE o_custkey % 3 <> 0")):
+        assert by_spark(spark, SF2, name) == by_sql(SF2, name, (cut, "")), name
