@@ -98,11 +98,11 @@ def graph_ranking(seeds: DataFrame, neighbours: DataFrame, universe: DataFrame,
 def hybrid(claims: DataFrame, neighbours: DataFrame, query: str, vector: Sequence[float], *, top_k: int = 10, seed_k: int = 5, depth: int = 1, traverse: bool = True) -> DataFrame:
     """Claims (claim_id, text, embedding; filter by time first) by fused rank, with the rank in each signal.
 
-    Every claim has a semantic and a lexical rank. The best ``seed_k`` of these two start the walk over the graph.
+    Every claim has a lexical rank, and a semantic one if it has a vector. The best ``seed_k`` of these two start the walk over the graph.
     """
     if not query.strip() or top_k < 1:
         raise ValueError("a search needs a query and a positive top_k")
-    semantic, lexical = cosine_ranking(claims, vector), bm25_ranking(claims, query)
+    semantic, lexical = cosine_ranking(claims.where("embedding is not null"), vector), bm25_ranking(claims, query)
     rankings = [semantic, lexical]
     graph = None
     if traverse:

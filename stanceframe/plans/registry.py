@@ -316,7 +316,7 @@ scores AS (SELECT query_id, doc_id, sum(qtf * greatest(0, ln((n_docs - df + 0.5)
 def bm25_topk(spark, sf_dir):
     from pyspark.sql import Window
 
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     scored = retrieval.bm25(docs, asked, id_col="doc_id").select("query_id", F.col("id").alias("doc_id"), *nine("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
@@ -346,7 +346,7 @@ def bfs_hops(spark, sf_dir):
 
 @query()
 def hybrid_search(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").join(vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("claim_id"), "text", "embedding")
+    docs = table(spark, sf_dir, "documents").join(vectors(spark, sf_dir), F.col("doc_id") == F.col("vec_id"), "left").select(F.col("doc_id").alias("claim_id"), "text", "embedding")
     near = vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), (F.col("vec_id") + 1).alias("neighbour"))
     return retrieval.hybrid(docs, near, "the and thing of", PROBE, top_k=20)
 

@@ -47,3 +47,16 @@ def test_greedy_clusters_hold_every_vector(spark, tmp_path):
 def test_orders_of_every_customer_count(spark):
     for name, cut in (("bfs_hops", " WHERE o_custkey <= 200"), ("recurring_guests", " WHERE o_custkey % 3 <> 0")):
         assert by_spark(spark, SF2, name) == by_sql(SF2, name, (cut, "")), name
+
+
+def test_bm25_searches_every_language(spark):
+    assert by_spark(spark, SF, "bm25_topk") == by_sql(SF, "bm25_topk", (" WHERE lang = 'en'", ""))
+
+
+def test_hybrid_search_keeps_documents_without_a_vector(spark, tmp_path):
+    docs = [(0, "the thing", "en"), (1, "nothing here", "de"), (2, "the and thing of", "fr"), (3, "else", "en")]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    near = [(0, [float(i == 2) for i in range(64)], 0), (1, [float(i == 4) for i in range(64)], 0)]
+    spark.createDataFrame(near, "vec_id bigint, embedding array<float>, label bigint").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.claim_id: (r.semantic_rank, r.lexical_rank) for r in registry.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 2), 1: (1, 3), 2: (None, 1), 3: (None, 4)}
