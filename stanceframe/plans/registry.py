@@ -563,7 +563,7 @@ def claim_extraction(spark, sf_dir):
 @query()
 def grounded_claims(spark, sf_dir):
     s = segment_rows(spark, sf_dir)
-    c = s.where("seg_idx % 2 = 0").select(F.monotonically_increasing_id().alias("claim_seq"), "episode_id", F.substring("text", 3, 80).alias("object"), F.lit(190.0).alias("t_start"), F.lit(200.0).alias("t_end"), F.lit("SPEAKER_99").alias("label"))
+    c = s.select(F.monotonically_increasing_id().alias("claim_seq"), "episode_id", F.col("text").alias("object"), F.lit(190.0).alias("t_start"), F.lit(200.0).alias("t_end"), F.lit("SPEAKER_99").alias("label"))
     return extraction.ground_claims(c, s)
 
 

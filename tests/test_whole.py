@@ -4,6 +4,7 @@ import os
 
 import duckdb
 
+from stanceframe.functions.text_udfs import match_score_text
 from stanceframe.plans import registry
 
 from .test_queries import SF, norm
@@ -60,3 +61,17 @@ def test_hybrid_search_keeps_documents_without_a_vector(spark, tmp_path):
     spark.createDataFrame(near, "vec_id bigint, embedding array<float>, label bigint").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = {r.claim_id: (r.semantic_rank, r.lexical_rank) for r in registry.QUERIES["hybrid_search"](spark, str(tmp_path)).collect()}
     assert got == {0: (2, 2), 1: (1, 3), 2: (None, 1), 3: (None, 4)}
+
+
+def test_every_turn_is_grounded_by_its_whole_text(spark, tmp_path):
+    tail = "so the harbour freight was weighed again at noon by other hands"
+    turns = [(c, t, "user", f"turn {t} " + "and then we spoke of many things " * 4 + tail * (t % 2) + str(c)) for c in range(2) for t in range(5)] + [(2, 0, "user", ""), (2, 1, "user", None), (2, 2, "system", "short")]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    expected = []
+    for c, _, _, text in turns:
+        score, at, role, said = max((match_score_text(text, s), -t, r, s) for k, t, r, s in turns if k == c)
+        moved = (role, -at * 5.0, -at * 5.0 + 4 + len(said) % 4) if score >= 0.45 else ("SPEAKER_99", 190.0, 200.0)
+        expected.append((f"conv-{c}", text, *moved, score >= 0.45, round(score, 9)))
+    got = registry.QUERIES["grounded_claims"](spark, str(tmp_path)).collect()
+    assert len({r.claim_seq for r in got}) == len(turns)
+    assert sorted(((r.episode_id, r.object, r.label, r.t_start, r.t_end, r.grounded, round(r.score, 9)) for r in got), key=repr) == sorted(expected, key=repr)
