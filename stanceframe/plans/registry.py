@@ -270,8 +270,8 @@ WORDS = "words AS (SELECT episode_id, seg_idx AS word_idx, t_start + 4.6 AS w_st
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, word_idx ORDER BY -seconds, CASE WHEN seconds > 0 THEN 0 ELSE gap END, t_start, t_end, speaker) AS nth FROM o) SELECT w.episode_id, w.word_idx, coalesce(r.speaker, 'SPEAKER_00') AS speaker FROM words w LEFT JOIN r ON r.episode_id = w.episode_id AND r.word_idx = w.word_idx AND nth = 1""")
 def word_to_turn_overlap(spark, sf_dir):
     g = segment_rows(spark, sf_dir)
-    words = g.where("seg_idx < 60").select("episode_id", F.col("seg_idx").alias("word_idx"), (F.col("t_start") + 4.6).alias("w_start"), (F.col("t_start") + 5.2).alias("w_end"))
-    return segments.words_to_speakers(words, g.where("seg_idx % 2 = 0")).select("episode_id", "word_idx", "speaker")
+    words = g.select("episode_id", F.col("seg_idx").alias("word_idx"), (F.col("t_start") + 4.6).alias("w_start"), (F.col("t_start") + 5.2).alias("w_end"))
+    return segments.words_to_speakers(words, g).select("episode_id", "word_idx", "speaker")
 
 
 @query()

@@ -75,3 +75,12 @@ def test_every_turn_is_grounded_by_its_whole_text(spark, tmp_path):
     got = registry.QUERIES["grounded_claims"](spark, str(tmp_path)).collect()
     assert len({r.claim_seq for r in got}) == len(turns)
     assert sorted(((r.episode_id, r.object, r.label, r.t_start, r.t_end, r.grounded, round(r.score, 9)) for r in got), key=repr) == sorted(expected, key=repr)
+
+
+def test_words_and_turns_are_all_segments(spark, tmp_path):
+    turns = [(c, t, f"role-{t}", "x" * (t % 5)) for c in range(2) for t in range(70)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    cuts = ((" WHERE seg_idx < 60", ""), (" WHERE g.seg_idx % 2 = 0", ""))
+    for sf in (SF, str(tmp_path)):
+        assert by_spark(spark, sf, "word_to_turn_overlap") == by_sql(sf, "word_to_turn_overlap", *cuts)
+    assert registry.QUERIES["word_to_turn_overlap"](spark, str(tmp_path)).count() == len(turns)
