@@ -37,7 +37,7 @@ class ChunkEncoder:
     """Encodes with a ``tokenizers`` file (``add_special_tokens=False``), remembering the ids of each chunk.
 
     ``cut`` is ``"word"`` for vocabularies that drop white space and ``"leading"`` for byte-level ones; a text with runs of
-    white space goes to the library whole. ``ordinary``: the strings of special tokens are ordinary text.
+    white space, or with the mark of a first chunk in it, goes to the library whole. ``ordinary``: the strings of special tokens are ordinary text.
     """
 
     _made: dict[tuple, ChunkEncoder] = {}
@@ -125,7 +125,9 @@ class ChunkEncoder:
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         texts = list(texts)
-        chunks = [self._chunks(t) for t in texts]
+        # a text that holds the mark could spell the key of a first piece
+        marked = {i: self._library(t) for i, t in enumerate(texts) if _FIRST in t} if self.cut == "leading" else {}
+        chunks = [[] if i in marked else self._chunks(t) for i, t in enumerate(texts)]
         lacking = self.recent.missing(set().union(*chunks))
         cache, whole, rest, long = self.recent.fresh, set(), [], []
         for key in lacking:
@@ -144,9 +146,9 @@ class ChunkEncoder:
             cache.update(zip(part, self._many([self._piece(k) for k in part]), strict=True))
         alone = {key: self._library(self._piece(key)) for key in long}
         look = cache.__getitem__ if not alone else lambda key: alone[key] if key in alone else cache[key]
-        if not whole:
+        if not whole and not marked:
             return [b"".join(map(look, part)) for part in chunks]
-        return [b"".join(map(look, part)) if whole.isdisjoint(part) else self._library(text) for text, part in zip(texts, chunks, strict=True)]
+        return [marked[i] if i in marked else b"".join(map(look, part)) if whole.isdisjoint(part) else self._library(text) for i, (text, part) in enumerate(zip(texts, chunks, strict=True))]
 
     def _library(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()

@@ -35,6 +35,16 @@ def test_chunks_give_the_ids_of_the_library(path, cut, ordinary):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+@pytest.mark.parametrize(("path", "cut", "ordinary"), [(WORD, "word", False), (BYTE, "leading", False), (BYTE, "leading", True)])
+def test_control_characters_are_not_taken_for_marks(path, cut, ordinary):
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = ordinary
+    texts = ["a \x02foo b", "foo b", "\x02foo b", "\x02", "a \x02", "a \x02\x02foo.", "a\n\x02foo", "a \x02 foo", "\x02\n", "é \x02é"]
+    for batch in (texts, *([t] for t in texts)):
+        got = ChunkEncoder(path, cut, ordinary).encode(batch)
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in got] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_merge_rounds_give_the_ids_of_the_library():
     encoder, library = MergeEncoder(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE)
     texts = [*random_texts(600), data.LONG, "", "ab" * 700, "aaa" * 300]
