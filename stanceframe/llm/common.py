@@ -144,10 +144,11 @@ def without_rows(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id
 
     @F.pandas_udf("boolean")
     def maybe(column: pd.Series) -> pd.Series:
-        null = column.isna().to_numpy()
-        return pd.Series(passes(column.fillna(0).to_numpy().astype(np.int64)) | null)
+        return pd.Series(passes(column.to_numpy()))
 
-    marked = docs.withColumn("__maybe", maybe(F.col(id_col).cast("bigint")))
+    # a null in a batch would make it float64, which rounds ids above 2^53
+    key = F.col(id_col).cast("bigint")
+    marked = docs.withColumn("__maybe", maybe(F.coalesce(key, F.lit(0).cast("bigint"))) | key.isNull())
     some = marked.where("__maybe").drop("__maybe").withColumn("__text", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
     same = F.col(id_col).cast("bigint").eqNullSafe(F.col("__doc_id"))
     found = some.join(gone, (same & (F.col("__text") == F.col("__text_sha256"))) if by_text else same, "left")

@@ -67,6 +67,13 @@ def test_stages_keep_columns(spark, tmp_path):
     assert set(texts.values()) == {1} and set(texts) == {r[1] or "" for r in data.rows()}
 
 
+def test_large_ids_beside_a_null_are_dropped(spark):
+    large = [2**53 + 1 + 2 * i for i in range(20)]
+    docs = spark.createDataFrame([(i, "t") for i in [*large, None, 5]], "doc_id bigint, text string").coalesce(1)
+    gone = spark.createDataFrame([(i, False) for i in large], "doc_id bigint, kept boolean")
+    assert sorted(common.without_rows(docs, gone).collect(), key=repr) == [(5, "t"), (None, "t")]
+
+
 def test_rules_as_columns_are_those_of_numpy(spark):
     import numpy as np
 
