@@ -1,10 +1,14 @@
 """Exact cosine links of embeddings by a dual traversal of cover trees.
 
-Unit vectors at cosine c are sqrt(2 - 2c) apart, so a cosine threshold is a distance. Equal vectors of a label are one
-class with a multiplicity. Large labels are first cut into cells around centres of a bounded sample; cells whose covering
-balls are too far apart are never compared. A cell is dealt into blocks of about ``BLOCK`` classes, and each task gets
-two blocks, builds a cover tree over each (nested levels whose radii halve) and traverses the two together: a pair of
-nodes is dropped when its balls are too far apart, taken whole when they are near enough throughout, else opened.
+Unit vectors at cosine c are sqrt(2 - 2c) apart, so a cosine threshold is a distance t. Equal vectors of a label are one
+class with a multiplicity. A label of more classes than a task should hold is cut into cells around centres of a sample,
+and cells into blocks. A task gets two blocks, builds a cover tree over each (nested levels whose radii halve, down to
+single points) and traverses the two together: a pair of nodes is dropped when its balls are too far apart, taken whole
+when they are near enough throughout, else opened.
+
+A vector is sent to meet another cell only where a partner can be: within t of that cell's ball, and no farther from its
+centre than from the own one by more than 2t. Where vectors lie in clusters this keeps them at home; where they point
+everywhere, no bound of distances keeps any two cells apart, and the work is the square of a label's classes.
 
 A task emits one row per class it found links for (their number, and the smallest class of its part), never the pairs.
 """
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .links import components
 
-#: Classes of a block; leaves of a tree; sampled vectors that centres come from, and centres of a label, at most.
-BLOCK, LEAF, SAMPLE, CENTRES = 2048, 24, 2048, 16
+#: Classes of a block and bytes of its vectors, at most; points of a leaf; points that meet all centres of a level at once.
+BLOCK, BLOCK_BYTES, LEAF, CHUNK = 16_384, 16 << 20, 24, 512
+#: Vectors that the centres of all large labels come from, about, and sampled vectors to a centre.
+SAMPLE, SAMPLED = 32_768, 16
 #: Rounding of distances that bounds must leave room for.
 SLACK = 1e-6
 
@@ -38,37 +44,54 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    """A ball around one of its points; ``kids`` is None in a leaf."""
+    """A ball around one of its points; ``kids`` is None in a leaf. ``centres`` and ``radii`` are those of the kids."""
 
-    __slots__ = ("centre", "kids", "points", "radius")
+    __slots__ = ("centre", "centres", "kids", "points", "radii", "radius")
 
     def __init__(self, centre: int, radius: float, points: np.ndarray, kids: list[Node] | None):
         self.centre, self.radius, self.points, self.kids = centre, radius, points, kids
+        below = kids or [self]
+        self.centres, self.radii = np.array([k.centre for k in below]), np.array([k.radius for k in below])
+
+
+def cover(x: np.ndarray, points: np.ndarray, radius: float) -> list[np.ndarray]:
+    """Groups of points around centres (the first of each) that are more than ``radius`` apart and cover all within it."""
+    centres: list[int] = []
+    owner = np.empty(len(points), np.int64)
+    for lo in range(0, len(points), CHUNK):
+        part = points[lo : lo + CHUNK]
+        left = np.arange(len(part))
+        if centres:
+            d = distances(x[part], x[centres])
+            owner[lo : lo + len(part)] = d.argmin(axis=1)
+            left = np.flatnonzero(d.min(axis=1) > radius)
+        near, free = distances(x[part[left]], x[part[left]]) <= radius, np.ones(len(left), bool)
+        for i in range(len(left)):
+            if free[i]:
+                mine = near[i] & free
+                mine[i] = True
+                free &= ~mine
+                owner[lo + left[mine]] = len(centres)
+                centres.append(int(part[left[i]]))
+    order = np.argsort(owner, kind="stable")  # a centre comes before what it covers
+    return np.split(points[order], np.cumsum(np.bincount(owner, minlength=len(centres)))[:-1])
 
 
 def cover_tree(x: np.ndarray) -> Node:
-    """The tree over unit vectors: level by level, points join the first centre within half the radius of the level above."""
+    """The tree over unit vectors: level by level, points join a centre within half the radius of the level above."""
 
-    def build(points: np.ndarray, centre: int, radius: float) -> Node:
-        d = distances(x[points], x[centre][None])[:, 0]
-        reach = float(d.max()) + SLACK
+    def build(points: np.ndarray, radius: float) -> Node:
+        centre = int(points[0])
+        if len(points) == 1:
+            return Node(centre, 0.0, points, None)
+        reach = float(distances(x[points], x[centre][None]).max()) + SLACK
         if len(points) <= LEAF or reach <= 1e-3:
             return Node(centre, reach, points, None)
         radius = min(radius, reach) / 2
-        near = distances(x[points], x[points]) <= radius if len(points) <= 4 * BLOCK else None
-        left, kids = np.ones(len(points), bool), []
-        for i in range(len(points)):
-            if left[i]:
-                row = near[i] if near is not None else distances(x[points[i]][None], x[points])[0] <= radius
-                mine = row & left
-                mine[i] = True
-                left &= ~mine
-                kids.append((points[i], points[mine]))
-        if 2 * len(kids) > len(points):  # nothing to gain from a level of single points
-            return Node(centre, reach, points, None)
-        return Node(centre, reach, points, [build(p, c, radius) for c, p in kids])
+        groups = cover(x, points, radius)
+        return build(groups[0], radius) if len(groups) == 1 else Node(centre, reach, points, [build(g, radius) for g in groups])
 
-    return build(np.arange(len(x)), 0, 2.0)
+    return build(np.arange(len(x)), 2.0)
 
 
 class Links:
@@ -113,69 +136,88 @@ class Links:
             self.join(int(a[0]), i)
 
 
-def dual_traversal(raw: np.ndarray, n_left: int, cosine: float, links: Links, same: bool) -> None:
-    """Report all links between rows ``[:n_left]`` and the others (``same``: within all rows, each pair once)."""
+def dual_traversal(raw: np.ndarray, n_left: int, cosine: float, links: Links, same: bool) -> int:
+    """Report all links between rows ``[:n_left]`` and the others (``same``: within all rows, each pair once).
+
+    Returns how many pairs of nodes were dropped by their covering radii.
+    """
     x = unit(raw)
     t = float(np.sqrt(2 - 2 * cosine))
+    pruned = 0
 
-    def exact(a: np.ndarray, b: np.ndarray, within: bool) -> None:
-        dots = x[a] @ x[b].T
+    def exact(i: np.ndarray, j: np.ndarray) -> None:
+        dots = np.einsum("ij,ij->i", x[i], x[j])
         hit = dots >= cosine
-        for i, j in zip(*np.nonzero(np.abs(dots - cosine) < 1e-12), strict=True):
-            u, v = raw[a[i]], raw[b[j]]
-            hit[i, j] = float(u @ v) / np.sqrt(float(u @ u) * float(v @ v)) >= cosine
+        for k in np.flatnonzero(np.abs(dots - cosine) < 1e-12):
+            u, v = raw[i[k]], raw[j[k]]
+            hit[k] = float(u @ v) / np.sqrt(float(u @ u) * float(v @ v)) >= cosine
+        links.pairs(i[hit], j[hit])
+
+    def dense(a: np.ndarray, b: np.ndarray, within: bool) -> None:
+        near = distances(x[a], x[b]) <= t + SLACK
         if within:
-            hit &= np.tri(len(a), len(b), -1, dtype=bool).T
-        i, j = np.nonzero(hit)
-        links.pairs(a[i], b[j])
+            near &= np.tri(len(a), len(b), -1, dtype=bool).T
+        i, j = np.nonzero(near)
+        exact(a[i], b[j])
+
+    def meet(a: Node, b: Node, within: bool) -> list[tuple[Node, Node]]:
+        """Pairs of kids that must be opened; what can be said of the others is said."""
+        nonlocal pruned
+        left, right, opened = a.kids or [a], b.kids or [b], []
+        for lo in range(0, len(left), CHUNK):
+            d = distances(x[a.centres[lo : lo + CHUNK]], x[b.centres])
+            reach = np.add.outer(a.radii[lo : lo + CHUNK], b.radii)
+            mask = d <= reach + t + SLACK
+            if within:  # each pair of kids once
+                mask &= np.arange(len(right)) > lo + np.arange(len(d))[:, None]
+                pruned += int(sum(max(0, len(right) - 1 - k) for k in range(lo, lo + len(d))) - mask.sum())
+            else:
+                pruned += int(mask.size - mask.sum())
+            i, j = np.nonzero(mask)
+            single = reach[i, j] == 0
+            exact(a.centres[lo + i[single]], b.centres[j[single]])
+            for p, q, whole in zip(i[~single].tolist(), j[~single].tolist(), (d + reach <= t - SLACK)[i[~single], j[~single]].tolist(), strict=True):
+                if whole:
+                    links.all_between(left[lo + p].points, right[q].points)
+                else:
+                    opened.append((left[lo + p], right[q]))
+        return opened
 
-    def cross(a: Node, b: Node) -> None:
-        stack = [(a, b)]
+    def cross(stack: list[tuple[Node, Node]]) -> None:
         while stack:
             a, b = stack.pop()
             if a.kids is None and b.kids is None:
-                exact(a.points, b.points, False)
-                continue
-            left, right = a.kids or [a], b.kids or [b]
-            d = distances(x[[k.centre for k in left]], x[[k.centre for k in right]])
-            reach = np.add.outer([k.radius for k in left], [k.radius for k in right])
-            for i, j in zip(*np.nonzero(d <= reach + t + SLACK), strict=True):
-                if d[i, j] + reach[i, j] <= t - SLACK:
-                    links.all_between(left[i].points, right[j].points)
-                else:
-                    stack.append((left[i], right[j]))
-
-    def inner(a: Node) -> None:
-        if 2 * a.radius <= t - SLACK:
-            links.all_within(a.points)
-        elif a.kids is None:
-            exact(a.points, a.points, True)
+                dense(a.points, b.points, False)
+            else:
+                stack += meet(a, b, False)
+
+    def inner(node: Node) -> None:
+        if 2 * node.radius <= t - SLACK:
+            links.all_within(node.points)
+        elif node.kids is None:
+            dense(node.points, node.points, True)
         else:
-            d = distances(x[[k.centre for k in a.kids]], x[[k.centre for k in a.kids]])
-            radii = np.array([k.radius for k in a.kids])
-            near = np.triu(d <= np.add.outer(radii, radii) + t + SLACK, 1)
-            for i, j in zip(*np.nonzero(near), strict=True):
-                if d[i, j] + radii[i] + radii[j] <= t - SLACK:
-                    links.all_between(a.kids[i].points, a.kids[j].points)
-                else:
-                    cross(a.kids[i], a.kids[j])
-            for k in a.kids:
-                inner(k)
+            cross(meet(node, node, True))
+            for k in node.kids:
+                if len(k.points) > 1:
+                    inner(k)
 
     if same:
         inner(cover_tree(x))
-        return
-    if 0 < n_left < len(x):
+    elif 0 < n_left < len(x):
         left, right = cover_tree(x[:n_left]), cover_tree(x[n_left:])
 
         def shift(node: Node) -> None:
-            node.points, node.centre = node.points + n_left, node.centre + n_left
+            node.points, node.centre, node.centres = node.points + n_left, node.centre + n_left, node.centres + n_left
             for k in node.kids or ():
                 shift(k)
 
         shift(right)
         if float(distances(x[[left.centre]], x[[right.centre]])[0, 0]) <= left.radius + right.radius + t + SLACK:
-            cross(left, right)
+            cross([(left, right)])
+        else:
+            pruned += 1
+    return pruned
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -200,10 +242,10 @@ def _prepared(vectors: DataFrame) -> DataFrame:
 
 
 def _centres(x: np.ndarray) -> np.ndarray:
-    """Centres by farthest points, so that the nearest of them is near."""
+    """Centres by farthest points, one to ``SAMPLED`` vectors, so that the nearest of them is near."""
     x, chosen = unit(x), [0]
     d = distances(x, x[:1])[:, 0]
-    while len(chosen) < min(CENTRES, len(x)) and d.max() > 1e-6:
+    while SAMPLED * len(chosen) < len(x) and d.max() > 1e-6:
         chosen.append(int(d.argmax()))
         d = np.minimum(d, distances(x, x[chosen[-1:]])[:, 0])
     return x[chosen]
@@ -224,43 +266,58 @@ def cosine_links(vectors: DataFrame, *, cosine: float = 0.98, id_col: str = "vec
     classes = grouped.agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.any_value("vector").alias("vector"))
     classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()), "vector-classes")
 
-    large = classes.groupBy("label", "width").count().where(F.col("count") > block).select("label", "width")
-    sample = classes.join(large, ["label", "width"], "left_semi").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("label", "width", "vector").toArrow()
+    room = F.expr(f"least({block}, greatest(1, {BLOCK_BYTES} div (8 * width)))")
+    large = classes.groupBy("label", "width").count().withColumn("room", room).where("count > room")
+    # two centres to a block of classes, unless that is more than the sample for all large labels holds
+    wanted = large.withColumn("wanted", F.expr(f"{2 * SAMPLED} * count / room"))
+    whole = wanted.agg(F.sum("wanted")).first()[0] or 0.0
+    rate = F.expr(f"cast(least(1, {min(1.0, SAMPLE / max(whole, 1.0))!r} * wanted / count) * 1000000 as bigint)")
+    sampled = classes.join(wanted.select("label", "width", rate.alias("rate")), ["label", "width"]).where("pmod(xxhash64(digest), 1000000) < rate")
+    sample = sampled.select("label", "width", "vector").toArrow()
     keyed: dict[tuple, list] = {}
     for label, width, vector in zip(*(c.to_pylist() for c in sample.columns), strict=True):
         keyed.setdefault((label, width), []).append(vector)
     centres = {k: _centres(np.array(v, float)) for k, v in keyed.items()}
+    t = float(np.sqrt(2 - 2 * cosine))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell, away = np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, 2.0)
+            cell, visits = np.zeros(batch.num_rows, np.int64), [[1]] * batch.num_rows
             keys: dict[tuple, list[int]] = {}
             for i, key in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 if key in centres:
                     keys.setdefault(key, []).append(i)
             for key, at in keys.items():
                 d = distances(unit(_matrix(batch.column(3).take(pa.array(at)))), centres[key])
-                cell[at], away[at] = d.argmin(axis=1), d.min(axis=1)
-            yield pa.record_batch({"id": batch.column(0), "cell": cell, "away": away})
-
-    placed = materialize(classes.select("id", "label", "width", "vector").mapInArrow(place, "id bigint, cell bigint, away double"), "placed")
+                cell[at] = d.argmin(axis=1)
+                # a partner y of x has its centre c nearest, so d(x, c) <= t + d(y, c) <= t + d(y, own) <= 2t + d(x, own)
+                bits = np.zeros((len(at), -(-d.shape[1] // 64) * 64), bool)
+                bits[:, : d.shape[1]] = d <= d.min(axis=1, keepdims=True) + 2 * t + SLACK
+                for i, words in zip(at, np.packbits(bits, axis=1, bitorder="little").view("<i8").tolist(), strict=True):
+                    visits[i] = words
+            yield pa.record_batch({"id": batch.column(0), "cell": cell, "visits": pa.array(visits, pa.list_(pa.int64()))})
+
+    has = lambda words, cell: F.expr(f"(shiftrightunsigned({words}[cast({cell} div 64 as int)], cast({cell} % 64 as int)) & 1L) = 1L")
+    placed = materialize(classes.select("id", "label", "width", "vector").mapInArrow(place, "id bigint, cell bigint, visits array<bigint>"), "placed")
     placed = classes.select("id", "label", "width").join(placed, "id")
-    cells = placed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("size"), F.max("away").alias("radius"))
-    cells = materialize(cells.withColumn("blocks", F.expr(f"cast((size + {block - 1}) div {block} as int)")), "cells")
-    where = materialize(placed.join(cells, ["label", "width", "cell"]).select("id", "label", "width", "cell", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block")), "blocks")
-
-    t = float(np.sqrt(2 - 2 * cosine))
-    a = cells.select("label", "width", F.col("cell").alias("cell_a"), F.col("radius").alias("radius_a"), F.col("blocks").alias("blocks_a"))
-    b = cells.select("label", "width", F.col("cell").alias("cell_b"), F.col("radius").alias("radius_b"), F.col("blocks").alias("blocks_b"))
-    apart = materialize(
-        classes.sparkSession.createDataFrame([(i, j, label, width, float(d)) for (label, width), c in centres.items() for i, row in enumerate(distances(c, c)) for j, d in enumerate(row)] or [], f"cell_a bigint, cell_b bigint, label {rows.schema['label'].dataType.simpleString()}, width int, apart double"), "apart"
-    )
-    near = a.join(b, ["label", "width"]).where("cell_a <= cell_b").join(apart, ["label", "width", "cell_a", "cell_b"], "left").where(F.coalesce("apart", F.lit(0.0)) <= F.col("radius_a") + F.col("radius_b") + t + SLACK)
+    sizes = placed.groupBy("label", "width", "cell").agg(F.count(F.lit(1)).alias("size"))
+    words = placed.select("label", "width", "cell", F.posexplode("visits").alias("at", "word")).groupBy("label", "width", "cell", "at").agg(F.bit_or("word").alias("word"))
+    reach = words.groupBy("label", "width", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda s: s["word"]).alias("reach"))
+    cells = sizes.join(reach, ["label", "width", "cell"]).withColumn("room", room).withColumn("blocks", F.expr("cast((size + room - 1) div room as int)")).drop("room")
+    cells = materialize(cells, "cells")
+    where = materialize(placed.join(cells, ["label", "width", "cell"]).select("id", "label", "width", "cell", "visits", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block")), "blocks")
+
+    a = cells.select("label", "width", F.col("cell").alias("cell_a"), F.col("reach").alias("reach_a"), F.col("blocks").alias("blocks_a"))
+    b = cells.select("label", "width", F.col("cell").alias("cell_b"), F.col("reach").alias("reach_b"), F.col("blocks").alias("blocks_b"))
+    near = a.join(b, ["label", "width"]).where((F.col("cell_a") <= F.col("cell_b")) & has("reach_a", "cell_b") & has("reach_b", "cell_a"))
     pairs = near.withColumn("block_a", F.explode(F.expr("sequence(0, blocks_a - 1)"))).withColumn("block_b", F.explode(F.expr("sequence(if(cell_a = cell_b, block_a, 0), blocks_b - 1)")))
     pairs = materialize(pairs.select("label", "width", "cell_a", "block_a", "cell_b", "block_b").withColumn("pair", F.monotonically_increasing_id()), "block-pairs")
-    sides = pairs.select("label", "width", "pair", F.expr("cell_a = cell_b and block_a = block_b").alias("same"), F.explode(F.expr("if(cell_a = cell_b and block_a = block_b, array(struct(0 as side, cell_a as cell, block_a as block)), array(struct(0 as side, cell_a as cell, block_a as block), struct(1 as side, cell_b as cell, block_b as block)))")).alias("s"))
-    sides = sides.select("label", "width", "pair", "same", F.col("s.side").alias("side"), F.col("s.cell").alias("cell"), F.col("s.block").alias("block"))
-    dealt = sides.join(where, ["label", "width", "cell", "block"]).select("pair", "same", "side", "id").join(classes.select("id", "n", "vector"), "id")
+    one, two = ("struct(0 as side, cell_a as cell, block_a as block, cell_b as other)", "struct(1 as side, cell_b as cell, block_b as block, cell_a as other)")
+    same = "cell_a = cell_b and block_a = block_b"
+    sides = pairs.select("label", "width", "pair", F.expr(same).alias("same"), F.explode(F.expr(f"if({same}, array({one}), array({one}, {two}))")).alias("s"))
+    sides = sides.select("label", "width", "pair", "same", "s.*")
+    met = sides.join(where, ["label", "width", "cell", "block"]).where(has("visits", "other"))
+    dealt = met.select("pair", "same", "side", "id").join(classes.select("id", "n", "vector"), "id")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by([("side", "ascending"), ("id", "ascending")])

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import MembershipFilter, materialize, slices, text_column
@@ -27,7 +27,8 @@ from .shingles import MinWise, char_shingles
 WIDTH, BANDS, ROWS, PERCENT = 8, 16, 4, 80
 #: Distinct lines that a task points to; beyond it the oldest half is forgotten, which only proposes equal lines twice.
 REMEMBERED = 200_000
-_LINE = "doc_id bigint, row bigint, line int, id bigint, first bigint, head bigint, tail bigint, bands array<bigint>"
+_NO_LINE = bytes(16)
+_LINE = "doc_id bigint, row bigint, line int, id bigint, first bigint, head bigint, tail bigint, bands binary"
 
 
 def normal_lines(text: str) -> list[bytes]:
@@ -49,7 +50,10 @@ def _halves(digests: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signed(docs: DataFrame, width: int) -> DataFrame:
-    """One row per line that is not blank: its document, its number, its own id, that of the first equal line of the task, a digest, and the first's band keys."""
+    """One row per line that is not blank: its document, its number, its own id, that of the first equal line of the task, a digest, and the first's band keys.
+
+    A document without such a line has one row without number and digest.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashing = MinWise(BANDS, ROWS, both=False)
@@ -60,6 +64,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
         for batch in slices(batches, limit=1 << 19):
             docs_of, rows_of, numbers, firsts, digests, new, owners = [], [], [], [], [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), text_column(batch), strict=True):
+                before = len(digests)
                 for number, line in enumerate(normal_lines(text)):
                     if line:
                         key = _digest(line)
@@ -76,42 +81,75 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                         numbers.append(number)
                         firsts.append(first)
                         digests.append(key)
+                if len(digests) == before:
+                    docs_of.append(doc_id)
+                    rows_of.append(row)
+                    numbers.append(None)
+                    firsts.append(next_id + len(digests))
+                    digests.append(_NO_LINE)
                 row += 1
             if len(fresh) > REMEMBERED:
                 fresh, old = {}, fresh
             if not digests:
                 continue
             keys = hashing.keys(*char_shingles(new, width)) if new else np.zeros((0, BANDS), np.int64)
-            sizes = np.zeros(len(digests), np.int32)
-            sizes[owners] = BANDS
-            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(keys.ravel()))
+            packed: list[bytes] = [b""] * len(digests)
+            for i, row_keys in zip(owners, keys, strict=True):
+                packed[i] = row_keys.tobytes()
+            bands = pa.array(packed, pa.binary())
             head, tail = _halves(digests)
-            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.arange(next_id, next_id + len(digests))), pa.array(firsts, pa.int64()), pa.array(head), pa.array(tail), bands]
+            blank = np.array([n is None for n in numbers])
+            head, tail = pa.array(head, mask=blank), pa.array(tail, mask=blank)
+            columns = [pa.array(docs_of, pa.int64()), pa.array(rows_of, pa.int64()), pa.array(numbers, pa.int32()), pa.array(np.arange(next_id, next_id + len(digests))), pa.array(firsts, pa.int64()), head, tail, bands]
             next_id += len(digests)
             yield pa.record_batch(columns, names=["doc_id", "row", "line", "id", "first", "head", "tail", "bands"])
 
     return docs.mapInArrow(run, _LINE)
 
 
-def similar(a: str, b: str, width: int = WIDTH, percent: int = PERCENT) -> bool:
-    """Whether the shingle sets of two whole normalised lines are similar enough."""
-    if a == b:
-        return True
-    hashes, counts = char_shingles([a, b], width)
-    x, y = np.unique(hashes[: counts[0]]), np.unique(hashes[counts[0] :])
-    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-        return False
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= percent * (len(x) + len(y) - both)
+def similar(pairs: list[tuple[str, str]], width: int = WIDTH, percent: int = PERCENT) -> list[bool]:
+    """Whether the shingle sets of the two whole normalised lines of each pair are similar enough."""
+    index = {line: i for i, line in enumerate(dict.fromkeys(line for pair in pairs for line in pair))}
+    hashes, counts = char_shingles(list(index), width)
+    ends, sets = np.cumsum(counts), {}
+
+    def of(line: str) -> np.ndarray:
+        i = index[line]
+        if i not in sets:
+            part = np.sort(hashes[ends[i] - counts[i] : ends[i]])
+            sets[i] = part[np.r_[True, part[1:] != part[:-1]]]
+        return sets[i]
+
+    out = []
+    for a, b in pairs:
+        x, y = of(a), of(b)
+        if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+            out.append(False)
+            continue
+        z = np.sort(np.concatenate([x, y]))
+        both = int(np.count_nonzero(z[1:] == z[:-1]))
+        out.append(100 * both >= percent * (len(x) + len(y) - both))
+    return out
 
 
 def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per line that is not blank: doc_id, row (of the input, for repeated identifiers), line, component, kept."""
+    """One row per line that is not blank: doc_id, row (of the input, for repeated identifiers), line, component, kept.
+
+    A document without such a line has one row; its line is null.
+    """
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     lines = materialize(_signed(docs, width), "lines")
 
+    digests: list[DataFrame] = []
+
+    def equal(ids: DataFrame) -> DataFrame:
+        """Equal lines have the same bands; of the copies that tasks proposed only the first goes on."""
+        digests.append(materialize(lines.select("id", "head", "tail").join(ids, "id", "left_semi"), "digests"))
+        copies = digests[0].select("id", F.min("id").over(Window.partitionBy("head", "tail")).alias("rep")).where("id <> rep")
+        return materialize(copies, "copies")
+
     def texts(ids: DataFrame) -> DataFrame:
-        wanted = materialize(lines.join(ids, "id", "left_semi").select("id", "head", "tail"), "wanted")
+        wanted = materialize(digests[0].join(ids, "id", "left_semi").select("id", "head", "tail"), "wanted")
         passes = MembershipFilter(wanted.select("head"), wanted.count())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,8 +173,8 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
 
     def agree(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = [similar(x, y, width, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            for batch in slices(slices(batches, "x"), "y"):
+                hit = similar(list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)), width, percent)
                 yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
         return pairs.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
@@ -145,25 +183,29 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
         hashes, counts = char_shingles(column.to_pylist(), width)
         return [np.unique(s) for s in np.split(hashes, np.cumsum(counts)[:-1])] if len(counts) else []
 
-    labels = link_components(lines.where("size(bands) > 0").select("id", "bands"), texts, agree, shingles, percent).withColumnRenamed("id", "first")
+    proposed = lines.where("octet_length(bands) > 0").select("id", "bands")
+    labels = link_components(proposed, texts, agree, shingles, percent, n_keys=BANDS * lines.count(), equal=equal).withColumnRenamed("id", "first")
     placed = lines.select("doc_id", "row", "line", "first").join(labels, "first", "left").select("doc_id", "row", "line", F.coalesce("component", "first").alias("component"))
     placed = materialize(placed, "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    best = placed.groupBy("component").agg(F.min(order).alias("best"))
-    kept = (F.col("row") == F.col("best.row")) & (F.col("line") == F.col("best.line"))
-    return placed.join(best, "component").select("doc_id", "row", "line", "component", kept.alias("kept"))
+    # a line that is alone needs no join
+    best = placed.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "best.row", "best.line")
+    best = materialize(best.withColumnsRenamed({"row": "best_row", "line": "best_line"}), "best")
+    kept = F.col("best_row").isNull() | ((F.col("row") == F.col("best_row")) & (F.col("line") == F.col("best_line")))
+    return placed.join(best, "component", "left").select("doc_id", "row", "line", "component", kept.alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row with a line that is not blank: doc_id, n_lines, n_dropped, dropped (line numbers, ascending).
+    """One row per input row: doc_id, n_lines, n_dropped, dropped (line numbers, ascending).
 
     Lines are numbered from 0, blank ones too; ``n_lines`` counts those that are not blank. A document of blank lines
-    only, an empty or a null one has no row here. Repeated rows are documents of their own: the lines of the later one
-    go. Lines of a null identifier come last in order. Other columns of ``docs`` are not read.
+    only, an empty or a null one has none and drops none. Repeated rows are documents of their own: the lines of the
+    later one go. Lines of a null identifier come last in order. Texts and lines of any length are read whole. Other
+    columns of ``docs`` are not read; an empty table gives no rows.
     """
     found = line_groups(docs, width=width, percent=percent, id_col=id_col, text_col=text_col)
     dropped = F.array_sort(F.collect_list(F.when(~F.col("kept"), F.col("line"))))
-    return found.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("n_lines"), dropped.alias("dropped")).select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")
+    return found.groupBy("doc_id", "row").agg(F.count("line").alias("n_lines"), dropped.alias("dropped")).select("doc_id", "n_lines", F.size("dropped").cast("bigint").alias("n_dropped"), "dropped")
 
 
 def without_lines(text: str, dropped: list[int]) -> str:

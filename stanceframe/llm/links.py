@@ -6,15 +6,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, materialize, slices
+from .common import MembershipFilter, materialize, mix64, slices
 
-#: Buckets that shingles are counted in, as a power of two.
-SKETCH_BITS = 19
 #: Characters or shingles of payloads that are handled at once; a shingle takes eight bytes in several arrays.
 PART = 1 << 18
+#: Sets that hold a shingle, at most, for a task to form its pairs in memory.
+HELD_BY = 2048
+#: Band keys or shingles that a task sorts at once, and about as many in a range of them.
+RANGE_KEYS = 1 << 20
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -55,67 +58,214 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return materialize(nodes.join(over, "component", "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
 
 
-def _order(shingles: np.ndarray, heavy: np.ndarray) -> np.ndarray:
-    """Shingles with the rare ones first; the same total order for all sets."""
-    bucket = (shingles.view(np.uint64) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return shingles[np.lexsort((shingles, heavy[bucket]))]
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A stable order that sorts 64-bit words, and where each distinct one begins in it."""
+    low = np.uint64((1 << max(1, len(values).bit_length())) - 1)
+    # words whose low bits give way to their place sort much faster than by index; almost never do the low bits matter
+    order = (np.sort(values & ~low | np.arange(len(values), dtype=np.uint64)) & low).astype(np.int64)
+    ranked = values[order]
+    if (ranked[1:] < ranked[:-1]).any():
+        order = np.argsort(values, kind="stable")
+        ranked = values[order]
+    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])[: len(values)]
+
+
+def _cuts(values: np.ndarray, ranges: int) -> np.ndarray:
+    """Where each of ``ranges`` equal ranges of 64-bit words begins in sorted ``values``."""
+    return np.searchsorted((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+
+
+def _blob(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, kind) for x in column.to_pylist()]
 
 
 def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
     """Pairs (a, b) across components that can reach the similarity, of sets (id, component, stray, payload), one stray at least.
 
-    Sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all;
-    rare ones come first here, so what is special to a text proposes its partners. How rare a shingle is comes from
-    counts of 2**SKETCH_BITS hash buckets, which are all that reaches the driver and the tasks.
+    Sets with Jaccard similarity t share a shingle among the first n - ceil(t n) + 1 of each, in any order common to all.
+    Here shingles that no other component holds come first: they propose nothing, and a set with too many of them has no
+    partner at all. The others follow by how many sets hold them, counted exactly: blocks of sets send their distinct
+    shingles, each once, in packed arrays to ranges of shingles, which send the counts back. A shingle that a third of all
+    sets hold is one entry a block.
     """
+    measure = F.length if sets.schema["payload"].dataType.simpleString() == "string" else F.size
+    total = sets.agg(F.sum(measure("payload"))).first()[0] or 0
+    n = max(1, -(-total // RANGE_KEYS))
+    blocks = sets.select("id", "component", "stray", "payload", F.expr(f"cast(pmod(xxhash64(id), {n}) as int)").alias("block"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
-        for batch in batches:
-            for part in slices([batch], "payload", PART):
-                flat = np.concatenate([s.view(np.uint64) for s in shingles(part.column(0))])
-                total += np.bincount((flat >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"bucket": at, "n": total[at]})
-
-    counted = sets.select("payload").mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    heavy = np.zeros(1 << SKETCH_BITS, np.int64)
-    heavy[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
-
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "payload", PART):
-            found = shingles(batch.column(3))
-            sizes = np.array([len(s) for s in found], np.int64)
-            lengths = sizes - -(-percent * sizes // 100) + 1
-            each = np.repeat(np.arange(len(found)), lengths)
-            place = np.concatenate([np.arange(k) for k in lengths])
-            values = np.concatenate([_order(s, heavy)[:k] for s, k in zip(found, lengths, strict=True)]).view(np.int64)
-            taken = [c.take(pa.array(each)) for c in batch.columns[:3]]
-            yield pa.record_batch([*taken, pa.array(values), pa.array(place), pa.array(sizes[each])], names=["id", "component", "stray", "shingle", "place", "n"])
-
-    first = materialize(sets.select("id", "component", "stray", "payload").mapInArrow(prefixes, "id bigint, component bigint, stray boolean, shingle bigint, place bigint, n bigint"), "prefixes")
-    x = first.where("stray").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "place", "n")])
-    y = first.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "place", "n")])
-    # what can still be shared from the first common shingle on
+    def shingles_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found = [s for batch in slices(table.select(["payload"]).to_batches(), "payload", PART) for s in shingles(batch.column(0))]
+        return np.concatenate(found).view(np.uint64), np.array([len(s) for s in found], np.int64)
+
+    def count(table: pa.Table) -> pa.Table:
+        flat, sizes = shingles_of(table)
+        order, heads = _distinct(flat)
+        component = np.repeat(table["component"].to_numpy(), sizes)[order]
+        lo, hi = np.minimum.reduceat(component, heads), np.maximum.reduceat(component, heads)
+        values, held = flat[order[heads]], np.diff(np.r_[heads, len(flat)])
+        cuts, rows = _cuts(values, n), []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            part = slice(cuts[k], cuts[k + 1])
+            wide = np.flatnonzero(lo[part] < hi[part]).astype("<u4")
+            rows.append((k, table["block"][0].as_py(), values[part].tobytes(), held[part].astype("<u4").tobytes(), lo[part].tobytes(), wide.tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "block", "shingles", "held", "component", "wide"])
+
+    def add(table: pa.Table) -> pa.Table:
+        values, held, lo = _blob(table["shingles"], "<u8"), _blob(table["held"], "<u4"), _blob(table["component"], "<i8")
+        spread = [np.zeros(len(v), bool) for v in values]
+        for s, wide in zip(spread, _blob(table["wide"], "<u4"), strict=True):
+            s[wide] = True
+        flat, component = np.concatenate(values), np.concatenate(lo)
+        order, heads = _distinct(flat)
+        across = np.logical_or.reduceat(np.concatenate(spread)[order], heads) | (np.minimum.reduceat(component[order], heads) < np.maximum.reduceat(component[order], heads))
+        holders = np.where(across, np.add.reduceat(np.concatenate(held).astype(np.int64)[order], heads), 0)
+        back = np.empty(len(flat), "<i8")
+        back[order] = np.repeat(holders, np.diff(np.r_[heads, len(flat)]))
+        parts = np.split(back, np.cumsum([len(v) for v in values])[:-1])
+        return pa.table({"block": table["block"], "range": table["range"], "holders": pa.array([x.tobytes() for x in parts], pa.binary())})
+
+    def prefixes(table: pa.Table, counted: pa.Table) -> pa.Table:
+        flat, sizes = shingles_of(table)
+        order, heads = _distinct(flat)
+        holders = np.empty(len(flat), np.int64)
+        holders[order] = np.repeat(np.concatenate(_blob(counted.sort_by("range")["holders"], "<i8")), np.diff(np.r_[heads, len(flat)]))
+        each = np.repeat(np.arange(len(sizes)), sizes)
+        order = np.lexsort((flat, holders, each))
+        place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first = (place < sizes[each] - -(-percent * sizes[each] // 100) + 1) & (holders[order] > 0)
+        each, at = pa.array(each[first]), order[first]
+        taken = [table[c].take(each) for c in ("id", "component", "stray")]
+        return pa.table([*taken, pa.array(flat[at].view(np.int64)), pa.array(holders[at]), pa.array(place[first]), pa.array(sizes).take(each)], names=["id", "component", "stray", "shingle", "holders", "place", "n"])
+
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    sent = blocks.groupBy("block").applyInArrow(count, "range int, block int, shingles binary, held binary, component binary, wide binary")
+    counted = sent.groupBy("range").applyInArrow(add, "block int, range int, holders binary")
+    first = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "id bigint, component bigint, stray boolean, shingle bigint, holders bigint, place bigint, n bigint")
+    first = materialize(first, "prefixes")
+    # shingles that the very same sets hold propose the same pairs: the first of them in the order is enough, as it is
+    # also the first that any two of these sets have in common
+    held = first.groupBy("shingle").agg(F.min("holders").alias("holders"), F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("stray").alias("any"))
+    chosen = held.where("any and lo <> hi").groupBy("least", "m", "of").agg(F.min(F.struct("holders", "shingle")).alias("s")).select("s.shingle", "m")
+    ranged = F.expr(f"cast(shiftrightunsigned(shingle, 32) * {n} div 4294967296 as int)")
+    first = materialize(first.drop("holders").join(chosen, "shingle").withColumn("range", ranged), "first-shingles")
+
+    def propose(table: pa.Table) -> pa.Table:
+        """The pairs of a range of shingles, each once, however many shingles the two share in it."""
+        ids, who = np.unique(table["id"].to_numpy(), return_inverse=True)
+        component, place, size, stray = (table[c].to_numpy() for c in ("component", "place", "n", "stray"))
+        order, heads = _distinct(table["shingle"].to_numpy().view(np.uint64))
+        many, found, held = np.diff(np.r_[heads, len(order)]), [np.zeros(0, np.int64)], 0
+        for m in np.unique(many[many > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            at = heads[many == m]
+            step = max(1, RANGE_KEYS // len(i))
+            for lo in range(0, len(at), step):
+                rows = order[at[lo : lo + step, None] + np.arange(m)]
+                x, y = rows[:, i].ravel(), rows[:, j].ravel()
+                near = (component[x] != component[y]) & (stray[x] | stray[y])
+                near &= (100 + percent) * np.minimum(size[x] - place[x], size[y] - place[y]) >= percent * (size[x] + size[y])
+                x, y = who[x[near]], who[y[near]]
+                found.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
+                held += len(found[-1])
+                if held > 4 * RANGE_KEYS:
+                    found, held = [np.unique(np.concatenate(found))], 0
+        pairs = np.unique(np.concatenate(found))
+        return pa.table({"a": ids[pairs // len(ids)], "b": ids[pairs % len(ids)]})
+
+    proposed = first.where(F.col("m") <= HELD_BY).groupBy("range").applyInArrow(propose, "a bigint, b bigint")
+    # shingles of more sets are left to a join, which Spark splits where one makes too many rows
+    often = first.where(F.col("m") > HELD_BY)
+    x = often.where("stray").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "place", "n")])
+    y = often.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "stray", "place", "n")])
+    # what can still be shared from the first common shingle on; two strays meet once
     reach = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * (F.col("n_x") + F.col("n_y"))
-    return x.join(y, (x["shingle"] == y["shingle"]) & (F.col("component_x") != F.col("component_y")) & reach).select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    once = ~F.col("stray_y") | (F.col("id_x") < F.col("id_y"))
+    met = x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & once & reach)
+    return proposed.unionByName(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))).distinct()
+
+
+def _band_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of a column of packed bands in one array, and their number in each row."""
+    sizes = np.asarray(pa.compute.binary_length(column)) // 8
+    return np.frombuffer(b"".join(column.to_pylist()), "<i8"), sizes
+
+
+def shared_buckets(bands: DataFrame, n_keys: int) -> DataFrame:
+    """(key, pivot, n, of) of the band keys that several nodes of ``bands`` (id bigint, bands binary: 64-bit words) have.
+
+    pivot is the smallest node, n their number and ``of`` a digest of who they are. A task sorts its keys and sends one
+    entry for each, in packed arrays, so a key that a third of all nodes have is one entry a task; ``n_keys``, the number
+    of keys at most, sets how many ranges of keys they are dealt into.
+    """
+    ranges = max(1, -(-n_keys // RANGE_KEYS))
+
+    def packed(keys: np.ndarray, ids: np.ndarray, n: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
+        order, heads = _distinct(keys)
+        return keys[order[heads]], np.minimum.reduceat(ids[order], heads), np.add.reduceat(n[order], heads), np.bitwise_xor.reduceat(of[order], heads)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def entries() -> pa.RecordBatch:
+            keys, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            keys, ids, n, of = packed(keys, ids, np.ones(len(keys), np.int64), mix64(ids))
+            cuts = _cuts(keys, ranges)
+            base = int(ids.min())
+            narrow = int(ids.max()) - base < 1 << 32
+            rows = []
+            for k in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[k], cuts[k + 1])
+                many = np.flatnonzero(n[part] > 1).astype("<u4")
+                pivots = (ids[part] - base).astype("<u4") if narrow else ids[part]
+                rows.append((k, base if narrow else None, keys[part].tobytes(), pivots.tobytes(), many.tobytes(), n[part][many].tobytes(), of[part][many].tobytes()))
+            return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys, sizes = _band_keys(batch.column(1))
+            held.append((keys.view(np.uint64), np.repeat(batch.column(0).to_numpy(), sizes)))
+            if sum(len(k) for k, _ in held) >= RANGE_KEYS:
+                yield entries()
+                held.clear()
+        if sum(len(k) for k, _ in held):
+            yield entries()
+
+    def combine(table: pa.Table) -> pa.Table:
+        parts = []
+        for _, base, *raw in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            keys = np.frombuffer(raw[0], np.uint64)
+            ids = np.frombuffer(raw[1], np.int64) if base is None else np.frombuffer(raw[1], "<u4").astype(np.int64) + base
+            n, of, many = np.ones(len(keys), np.int64), mix64(ids), np.frombuffer(raw[2], "<u4")
+            n[many], of[many] = np.frombuffer(raw[3], np.int64), np.frombuffer(raw[4], np.uint64)
+            parts.append((keys, ids, n, of))
+        keys, ids, n, of = packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        at = np.flatnonzero(n > 1)
+        return pa.table({"key": keys[at].view(np.int64), "pivot": ids[at], "n": n[at], "of": of[at].view(np.int64)})
+
+    names = ["range", "base", "keys", "pivots", "many", "n", "of"]
+    kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+    dealt = bands.select("id", "bands").mapInArrow(deal, "range int, base bigint, keys binary, pivots binary, many binary, n binary, of binary")
+    return dealt.groupBy("range").applyInArrow(combine, "key bigint, pivot bigint, n bigint, of bigint")
 
 
-def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame], agree: Callable[[DataFrame], DataFrame], shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
-    """(id, component) of the nodes that verified links join, given ``bands`` (id bigint, bands array<bigint>).
+def link_components(
+    bands: DataFrame, payload: Callable[[DataFrame], DataFrame], agree: Callable[[DataFrame], DataFrame], shingles: Callable[[pa.Array], list[np.ndarray]], percent: int, *, n_keys: int, equal: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
+    """(id, component) of the nodes that verified links join, given ``bands`` (id bigint, bands binary: 64-bit words).
 
     Nodes that share a band key are in one bucket. The components are those of the graph of *all* pairs within buckets
-    that ``agree`` confirms, without looking at all of them: first every member meets the bucket's smallest one; then,
-    among the members of buckets that still lie in several components, pairs of different components are proposed by
-    their rarest shingles (`_prefix_pairs`), which loses none.
+    that ``agree`` confirms, without looking at all of them: first every member meets the bucket's smallest one, after
+    which all pairs of that one are settled; then, where the other members still lie in several components, pairs across
+    them are proposed by their rarest shingles (`_prefix_pairs`), which loses none.
 
     ``payload(ids)`` gives (id, payload); ``agree`` filters (a, b, x, y), x and y the payloads of a and b, to the links,
     which must be the pairs whose ``shingles`` (distinct, as 64-bit words) have a Jaccard similarity of ``percent`` at least.
+    ``n_keys`` is the number of band keys, or more. ``equal(ids)`` gives (id, rep) of nodes known to equal a smaller one.
     """
-    keys = bands.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("of")).where("n > 1")
+    found = shared_buckets(bands, n_keys)
     # many bands have the very same members: one of them is enough
-    shared = materialize(shared.groupBy("pivot", "n", "of").agg(F.min("key").alias("key")), "buckets")
+    shared = materialize(found.groupBy("pivot", "n", "of").agg(F.min("key").alias("key")), "buckets")
     n = shared.count()
     if not n:
         return bands.select("id", F.col("id").alias("component")).where("false")
@@ -123,22 +273,27 @@ def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame],
 
     def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, values = batch.column(0).to_numpy(), batch.column(1)
-            flat, sizes = values.flatten().to_numpy(), np.diff(values.offsets.to_numpy())
+            flat, sizes = _band_keys(batch.column(1))
             hit = passes(flat)
-            yield pa.record_batch({"id": np.repeat(ids, sizes)[hit], "key": flat[hit]})
+            yield pa.record_batch({"id": np.repeat(batch.column(0).to_numpy(), sizes)[hit], "key": flat[hit]})
 
-    members = bands.mapInArrow(passing, "id bigint, key bigint").join(shared.select("key", "pivot"), "key")
+    members = bands.select("id", "bands").mapInArrow(passing, "id bigint, key bigint").join(shared.select("key", "pivot"), "key").where("id <> pivot")
     members = materialize(members.select("key", "id", "pivot"), "members")
-    data = materialize(payload(members.select("id").distinct()), "payload")
+    copies = None
+    if equal is not None:
+        copies = equal(members.select("id").union(members.select("pivot")).distinct())
+        members = members.join(copies, "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "pivot").where("id <> pivot").distinct()
+        members = materialize(members, "members")
+    stars = materialize(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
+    data = materialize(payload(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "payload")
 
     def verified(pairs: DataFrame) -> DataFrame:
         x = data.select(F.col("id").alias("a"), F.col("payload").alias("x"))
         y = data.select(F.col("id").alias("b"), F.col("payload").alias("y"))
-        return materialize(agree(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")).select("a", "b"), "links")
+        # the pivot comes last: the rows of one that many meet then have the size by which Spark splits a skewed join
+        return materialize(agree(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")).select("a", "b"), "links")
 
     # one pivot joins most members of a group; the others are asked only where they stand apart
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     first = materialize(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     labels = components(verified(first))
     of = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
@@ -146,13 +301,17 @@ def link_components(bands: DataFrame, payload: Callable[[DataFrame], DataFrame],
     rest = materialize(apart.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         labels = merged(labels, verified(rest))
-    placed = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    # all pairs of the pivots are settled; of two other members in different components one at least is outside the largest
+    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    # of two members in different components one at least is outside the bucket's largest component
     open_ids = placed.join(largest, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
     open_ids = materialize(open_ids, "open")
-    if open_ids.isEmpty():
+    if not open_ids.isEmpty():
+        pairs = materialize(_prefix_pairs(open_ids.join(data, "id"), shingles, percent), "pairs")
+        if not pairs.isEmpty():
+            labels = merged(labels, verified(pairs))
+    if copies is None:
         return labels
-    pairs = materialize(_prefix_pairs(open_ids.join(data, "id"), shingles, percent), "pairs")
-    return merged(labels, verified(pairs))
+    of = labels.select(F.col("id").alias("rep"), "component")
+    return labels.unionByName(copies.join(of, "rep", "left").select("id", F.coalesce("component", "rep").alias("component")))

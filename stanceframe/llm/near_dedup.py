@@ -31,11 +31,13 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
             keys = hashing.keys(np.concatenate([sets[i] for i in full]), sizes[full]) if len(full) else np.zeros((0, BANDS), np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((sizes > 0) * BANDS)], pa.int32()), pa.array(keys.ravel()))
+            packed = [b""] * len(sizes)
+            for i, row_keys in zip(full.tolist(), keys, strict=True):
+                packed[i] = row_keys.tobytes()
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": sizes, "digest": pa.array(digests, pa.binary()), "bands": bands})
+            yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": sizes, "digest": pa.array(digests, pa.binary()), "bands": pa.array(packed, pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands binary")
 
 
 def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,7 +83,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: s
         flat, offsets = column.flatten().to_numpy().view(np.uint64), np.diff(column.offsets.to_numpy())
         return np.split(flat, np.cumsum(offsets)[:-1]) if len(column) else []
 
-    labels = link_components(bands, sets, agree, shingles, percent)
+    labels = link_components(bands, sets, agree, shingles, percent, n_keys=BANDS * bands.count())
     # an identifier that occurs with several sets joins their classes
     owned = named.join(classes, "digest").select("doc_id", "id").distinct()
     first = owned.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last")

@@ -36,9 +36,8 @@ def test_lines_are_those_of_brute_force(spark):
     for k, r in root.items():
         order = (found[k][0] is None, found[k][0] or 0, found[k][1])
         best[r] = min(best.get(r, (order, k)), (order, k))
-    dropped = {}
+    dropped = {i: [] for i, _ in docs}
     for k, r in root.items():
-        dropped.setdefault(found[k][0], [])
         if best[r][1] != k:
             dropped[found[k][0]].append(found[k][1])
     got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
@@ -47,6 +46,23 @@ def test_lines_are_those_of_brute_force(spark):
 
 def test_odd_rows(spark):
     got = line_dedup.dedup_lines(data.docs(spark)).collect()
+    assert len(got) == len(data.rows())
     assert sum(r.n_lines for r in got) == sum(bool(x.strip()) for r in data.rows() for x in (r[1] or "").split("\n"))
     assert line_dedup.dedup_lines(data.empty(spark)).count() == 0
     assert line_dedup.without_lines("a\nb\nc", [1]) == "a\nc"
+
+
+def test_repeated_rows_and_long_lines(spark):
+    long = " ".join(f"w{i * i}" for i in range(40_000))
+    docs = [(1, "first line of the text\nsecond one"), (1, "first line of the text\nsecond one"), (2, long), (3, long + " end"), (3, "\n \n"), (None, None)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3))
+    assert sorted((r.doc_id or 0, r.n_lines, r.dropped) for r in got.collect()) == [(0, 0, []), (1, 2, []), (1, 2, [0, 1]), (2, 1, []), (3, 0, []), (3, 1, [0])]
+
+
+def test_similar_pairs_are_those_of_sets():
+    rnd = random.Random(3)
+    base = ["".join(rnd.choices("abcd ", k=rnd.randint(1, 60))).strip() or "a" for _ in range(60)]
+    pairs = [(a, a[: rnd.randint(1, len(a))] + rnd.choice(base)[:3]) for a in base] + [(a, a) for a in base]
+    want = [100 * len(sets(a) & sets(b)) >= 80 * len(sets(a) | sets(b)) for a, b in pairs]
+    got = line_dedup.similar([(line_dedup.normal(a), line_dedup.normal(b)) for a, b in pairs])
+    assert got == want and line_dedup.similar([]) == []

@@ -25,6 +25,10 @@ def roots(nodes, edges):
     return {n: find(n) for n in nodes}
 
 
+def packed(keys):
+    return np.array(keys, np.int64).tobytes()
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randint(0, 400), rnd.randint(0, 400)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1040)] + [(7, 7)]
@@ -33,20 +37,75 @@ def test_components(spark):
     assert links.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
-def test_links_beyond_the_pivot(spark):
+@pytest.mark.parametrize("held_by", [1, 2048])
+def test_links_beyond_the_pivot(spark, monkeypatch, held_by):
     """In one bucket only neighbours agree: stars around the pivot alone would find one link."""
+    monkeypatch.setattr(links, "HELD_BY", held_by)
     rng = np.random.default_rng(1)
     hashes = np.sort(rng.integers(0, 1 << 63, 80, dtype=np.uint64))
     sets = {i: (hashes[i : i + 10] if i != 30 else hashes[60:80]) for i in range(50)}
-    bands = spark.createDataFrame([(i, [1, 100 + i]) for i in sets], "id bigint, bands array<bigint>")
+    bands = spark.createDataFrame([(i, packed([1, 100 + i])) for i in sets], "id bigint, bands binary")
     table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "id bigint, payload array<bigint>")
     both = F.size(F.array_intersect("x", "y"))
     agree = lambda pairs: pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
     split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
-    got = {r.id: r.component for r in links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80).collect()}
+    got = {r.id: r.component for r in links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80, n_keys=100).collect()}
     assert {i: got.get(i, i) for i in sets} == {i: 0 if i < 30 else 30 if i == 30 else 31 for i in sets}
 
 
+def test_shared_buckets(spark):
+    """Packed entries say the same as a group by key, whatever the identifiers and the ranges."""
+    rnd = random.Random(2)
+    for ids in ([*range(300)], [rnd.randint(-(2**63), 2**63 - 1) for _ in range(300)]):
+        rows = [(i, [rnd.choice([-5, 7, rnd.randint(-(2**63), 2**63 - 1)]), rnd.randint(0, 50) << 56]) for i in ids]
+        want = {}
+        for i, keys in rows:
+            for k in keys:
+                want.setdefault(k, []).append(i)
+        frame = spark.createDataFrame([(i, packed(k)) for i, k in rows], "id bigint, bands binary").repartition(5)
+        for n_keys in (1, links.RANGE_KEYS * 9):
+            got = links.shared_buckets(frame, n_keys).collect()
+            assert {r.key: (r.pivot, r.n) for r in got} == {k: (min(v), len(v)) for k, v in want.items() if len(v) > 1}
+
+
+def test_order_of_words():
+    rng = np.random.default_rng(0)
+    for x in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 3000, 5000, dtype=np.uint64), rng.integers(0, 9, 5000, dtype=np.uint64) << np.uint64(40), np.zeros(0, np.uint64), np.full(3, 2**64 - 1, np.uint64)):
+        order, heads = links._distinct(x)
+        assert (order == np.argsort(x, kind="stable")).all() and (heads == np.unique(np.sort(x), return_index=True)[1]).all()
+
+
+def test_equal_nodes_take_the_component_of_their_first(spark):
+    sets = {1: [1, 2, 3, 4, 5], 2: [1, 2, 3, 4, 5], 3: [1, 2, 3, 4, 5, 6], 4: [9], 5: [9]}
+    bands = spark.createDataFrame([(i, packed([10 if i < 4 else 11])) for i in sets], "id bigint, bands binary")
+    table = spark.createDataFrame([*sets.items()], "id bigint, payload array<bigint>")
+    equal = spark.createDataFrame([(2, 1), (5, 4)], "id bigint, rep bigint")
+    both = F.size(F.array_intersect("x", "y"))
+    agree = lambda pairs: pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80, n_keys=5, equal=lambda ids: equal.join(ids, "id", "left_semi"))
+    assert {r.id: r.component for r in got.collect()} == {1: 1, 2: 1, 3: 1, 5: 4}
+
+
+@pytest.mark.parametrize("held_by", [2, 2048])
+def test_proposed_pairs_lose_no_link(spark, monkeypatch, held_by):
+    """Families of sets, each its own component: every pair that is similar enough is proposed, and once."""
+    monkeypatch.setattr(links, "HELD_BY", held_by)
+    rng = np.random.default_rng(9)
+    sets = {}
+    for family in range(6):
+        base = rng.integers(0, 1 << 62, 40)
+        for _ in range(12):
+            sets[len(sets)] = np.unique(np.r_[rng.permutation(base)[: rng.integers(33, 41)], rng.integers(0, 1 << 62, rng.integers(0, 4))])
+    rows = [(i, i, i % 3 > 0, [int(v) for v in s]) for i, s in sets.items()]
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    frame = spark.createDataFrame(rows, "id bigint, component bigint, stray boolean, payload array<bigint>").repartition(4)
+    got = [(r.a, r.b) for r in links._prefix_pairs(frame, split, 80).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and (a % 3 or b % 3) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(got) == len(set(got)) and len(want) > 20
+    assert want <= set(got)
+
+
 def word_sets(rows, width):
     out = {}
     for i, text, *_ in rows:
@@ -137,3 +196,48 @@ def test_cosine_links_are_those_of_brute_force(spark, block):
 
 def test_cosine_links_of_nothing(spark):
     assert cover_tree.cosine_links(spark.createDataFrame([], "vec_id bigint, embedding array<float>, label int")).count() == 0
+
+
+def clustered(rng, clusters, each, width=16, spread=0.03):
+    centres = rng.normal(size=(clusters, width))
+    x = np.repeat(centres / np.linalg.norm(centres, axis=1, keepdims=True), each, axis=0)
+    return x + rng.normal(size=x.shape) * spread / np.sqrt(width)
+
+
+@pytest.mark.parametrize("n_left", [0, 200])
+def test_traversal_prunes_and_loses_no_link(n_left):
+    """Nested levels over clusters: node pairs are dropped by their radii, and the links are those of all pairs."""
+    raw = clustered(np.random.default_rng(6), 30, 20)
+    raw = np.concatenate([raw[np.random.default_rng(1).permutation(600)], np.random.default_rng(7).normal(size=(100, 16))])
+    tree, depth = cover_tree.cover_tree(cover_tree.unit(raw)), 0
+    while tree.kids:
+        assert all(k.radius <= tree.radius + 1e-6 for k in tree.kids)
+        tree, depth = max(tree.kids, key=lambda k: len(k.points)), depth + 1
+    assert depth >= 2
+    found = cover_tree.Links(np.ones(len(raw), np.int64))
+    pruned = cover_tree.dual_traversal(raw, n_left, 0.98, found, n_left == 0)
+    g = cover_tree.unit(raw) @ cover_tree.unit(raw).T >= 0.98
+    np.fill_diagonal(g, False)
+    if n_left:
+        g[:n_left, :n_left] = g[n_left:, n_left:] = False
+    assert pruned > 1000 and (found.count == g.sum(axis=1)).all()
+    assert {i: found.root(i) for i in range(len(raw))} == roots(range(len(raw)), zip(*np.nonzero(g), strict=True))
+
+
+def test_clusters_stay_in_their_cells(spark, monkeypatch):
+    """Vectors of clusters are not sent to every block of their label."""
+    sent, whole = [], cover_tree.materialize
+
+    def seen(frame, label, **options):
+        out = whole(frame, label, **options)
+        if label == "block-pairs":
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(cover_tree, "materialize", seen)
+    raw = clustered(np.random.default_rng(3), 40, 30)
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(raw)]
+    got = cover_tree.cosine_links(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), block=60).collect()
+    g = cover_tree.unit(raw) @ cover_tree.unit(raw).T >= 0.98
+    assert {r.vec_id: r.n_links for r in got} == dict(enumerate((g.sum(axis=1) - 1).tolist()))
+    assert sent[0] < 100  # of about 40 cells, which have 820 pairs
