@@ -33,3 +33,9 @@ def read_range(path: str, start: int, length: int | None = None) -> bytes:
     store, place = open_store(path)
     with store.open_input_file(place) as file:
         return file.read_at(file.size() - start if length is None else length, start)
+
+
+def list_names(path: str) -> list[str]:
+    """Names of the files of a folder; none where it does not exist."""
+    store, place = open_store(path)
+    return [f.base_name for f in store.get_file_info(fs.FileSelector(place, allow_not_found=True)) if f.is_file]
