@@ -3,7 +3,7 @@
 A shard holds, in ascending document order, ``MAGIC``, the frames, then an index (identifier, null flag, offset, number of
 ids of each document), and a footer with the place of the index, the number of documents, the width of an id and the
 SHA-256 of the dictionary. One document is read by its index entry and one frame. The dictionary lies beside the shards,
-named by its hash; it is trained on the id arrays of a bounded sample and only affects sizes.
+named by its hash; it is trained on pieces of id arrays of a bounded sample of all rows and only affects sizes.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from .tokens import ChunkEncoder
 
 MAGIC = b"SFTOKZ01"
 _FOOTER = "<QQQ32s8s"
-#: Documents that the dictionary is trained on, at most, and its size in bytes.
-SAMPLE_DOCS, DICTIONARY_BYTES = 1000, 64 << 10
+#: Documents, and pieces of their id arrays of so many bytes, that the dictionary is trained on, at most; its size in bytes.
+SAMPLE_DOCS, SAMPLE_PIECES, PIECE_BYTES, DICTIONARY_BYTES = 1000, 1000, 16 << 10, 64 << 10
 #: Compressed bytes of a shard, about.
 SHARD_BYTES = 64 << 20
 _ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u8")])
@@ -41,6 +41,22 @@ def train_dictionary(arrays: list[bytes]) -> bytes:
         return b""
 
 
+def _sample(docs: DataFrame, tokenizer: str, cut: str, width: int) -> list[bytes]:
+    """Pieces of serialized id arrays: of the documents whose identifiers hash lowest, the pieces that do."""
+    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = ChunkEncoder.of(tokenizer, cut)
+        for batch in slices(batches):
+            for raw in encoder.encode(text_column(batch)):
+                data = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                yield pa.record_batch({"piece": pa.array([data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)], pa.binary())})
+
+    # ``SAMPLE_DOCS`` bounds the identifiers that are sent
+    found = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(pieces, "piece binary")
+    return found.orderBy(F.xxhash64("piece"), "piece").limit(SAMPLE_PIECES).toArrow()["piece"].to_pylist()
+
+
 def _dictionary(raw: bytes) -> dict:
     return {"dict_data": zstandard.ZstdCompressionDict(raw)} if raw else {}
 
@@ -68,8 +84,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, *, cut: str =
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     encoder = ChunkEncoder.of(tokenizer, cut)
     width = 2 if encoder.library.get_vocab_size(True) <= 1 << 16 and end_id < 1 << 16 else 4
-    sample = encoder.encode([t or "" for (t,) in docs.select("text").limit(SAMPLE_DOCS).collect()])
-    dictionary = train_dictionary([np.frombuffer(x, "<u4").astype(f"<u{width}").tobytes() for x in sample])
+    dictionary = train_dictionary(_sample(docs, tokenizer, cut, width))
     hashed = hashlib.sha256(dictionary).digest()
     write_bytes(f"{path}/{hashed.hex()}.zdict", dictionary)
 
