@@ -192,13 +192,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, *, label_col: str = "quality", train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> RuleModel:
     """Learn from at most ``train_rows`` labelled documents that are not held out; null identifiers and labels are left out.
 
-    A document with several labels counts with the smallest of them.
+    A document with several labels counts with the smallest of them; of rows that repeat an identifier the one with the
+    smallest statistics counts, so there is one row each.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull() & ~held_out())
     known = known.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min(label_col).cast("int").alias("label"))
     sample = materialize(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows), "labelled")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi")  # ``train_rows`` bounds it
-    rows = statistics(texts).limit(4 * train_rows).join(F.broadcast(sample), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("n_chars", "ascending")])
+    one = statistics(texts).groupBy("doc_id").agg(F.min(F.struct(*STATISTICS)).alias("s")).select("doc_id", "s.*")
+    rows = one.join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
     x = np.stack([rows[s].to_numpy() for s in STATISTICS], axis=1) if rows.num_rows else np.zeros((0, len(STATISTICS)))
     return fit(x, rows["label"].to_numpy().astype(float))
 
