@@ -17,23 +17,35 @@ from pyspark.sql import functions as F
 BUCKETS, GRAMS, MOST_LABELLED = 8192, (3, 4, 5), 10_000
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: A small labelled table: 1 is to be blocked.
-BLOCKED_WORDS = "adult xxx porn sex casino poker bets betting gamble lottery pills pharma viagra cheap-meds spam ads adserver ads-click track tracker clicks popup malware phish warez crack torrent-free win-prize free-bet link-farm farm-links payday".split()
-ALLOWED_WORDS = "news library museum university school science weather garden travel recipes history health city council market review journal archive docs wiki forum notes paper music sport radio theatre kitchen village river mountain".split()
+#: Words of a small labelled table: 1 is to be blocked.
+BLOCKED_WORDS = "adult xxx porn erotic escort nude casino poker bets betting gamble jackpot lottery slots roulette pills pharma viagra meds spam ads advert popup banner track tracker clicks malware phish warez crack keygen torrent prize loan cash payday replica farm".split()
+ALLOWED_WORDS = "news library museum university school college science weather climate garden travel hotel recipes kitchen food history art design photo film music radio theatre book author poetry health hospital city council village market bank law review journal archive docs wiki forum notes paper sport football tennis cycling river mountain coast energy solar build tools code data maps space robot".split()
 
 
-def labelled_urls() -> list[tuple[str, int]]:
-    """Hosts of bad words, of good words, and of names that say nothing (good); paths are alike for all."""
-    syllables = "th er an on in st ti ha wh ea re nd ble ing tion ly ou sh es en or at ed nt he".split()
-    n = len(syllables)
-    names = [syllables[i % n] + syllables[i * 3 % n] + syllables[i * 7 % n] for i in range(1, 3 * n)]
+def _names(n: int) -> list[str]:
+    """Names that say nothing, by a rule: two or three syllables of a consonant, a vowel and, at times, another consonant."""
+    first, vowels, last = "bdfgklmnprstvz", "aeiou", ["", "", "n", "r", "l", "s"]
+    part = lambda k: first[k % 14] + vowels[k // 14 % 5] + last[k * 11 // 7 % 6]
+    return [part(i * 37) + part(i * 53 + 5) + (part(i * 29 + 2) if i % 3 else "") for i in range(1, n + 1)]
+
+
+def labelled_urls(held_out: bool | None = None) -> list[tuple[str, int]]:
+    """Urls of hosts with bad words, with good words, and with names that say nothing (good); paths are alike for all.
+
+    A host joins two words or stands alone; ``held_out`` gives only, or never, the hosts of every fifth pair of words.
+    """
+    tops, names = ("com", "net", "org", "info", "io", "co.uk", "de", "eu"), _names(160)
+    hosts = ("{w}.{top}", "www.{w}{o}.{top}", "{w}-{o}.{top}", "{o}.{w}site.{top}", "my{w}.{top}", "shop.{o}{w}.{top}")
+    paths = ("", "/", "/about", "/index.php?id={n}", "/2019/04/{n}/{p}-{q}", "/category/{p}/page/3", "/watch?v={p}{n}", "/{p}/{q}.html#top", "/a/{n}/{p}/", "/login?next=/{q}")
     out = []
     for words, label in ((BLOCKED_WORDS, 1), (ALLOWED_WORDS, 0), (names, 0)):
-        for i, word in enumerate(words):
-            top, other, tongue = ("com", "net", "org")[i % 3], words[(i + 5) % len(words)], ("en", "fr", "de", "es")[i % 4]
-            hosts = (f"{word}.example.{top}", f"www.{word}-{other}.{top}", f"m.{word}-x.example.net", f"blog.{other}{word}.example.com")
-            tails = (f"/{tongue}/{1000 + 37 * i}", f"/{tongue}/{5003 * i}.html", f"/{tongue}/{911 * i}#top", f"/{tongue}/{77 + 13 * i}/?utm_source=feed")
-            out += [(f"http{'s' * (k % 2)}://{host}{tail}", label) for k, (host, tail) in enumerate(zip(hosts, tails, strict=True))]
+        for i, w in enumerate(words):
+            for k, host in enumerate(hosts):
+                # the partner of a bad word may say anything
+                o = (words, names, ALLOWED_WORDS)[(i + k) % 3 if label else 0][(3 * i + 7 * k + 1) % len(words if label == 0 or (i + k) % 3 == 0 else names if (i + k) % 3 == 1 else ALLOWED_WORDS)]
+                if held_out is None or ((i + 2 * k) % 5 == 0) == held_out:
+                    path = paths[(i * 3 + k) % len(paths)].format(n=17 + 31 * i, p=names[(i + k) % 160], q=names[(5 * i + k) % 160])
+                    out.append((f"http{'s' * (k % 2)}://{host.format(w=w, o=o, top=tops[(i + k) % len(tops)])}{path}", label))
     return out
 
 
