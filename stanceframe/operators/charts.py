@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -29,3 +29,11 @@ def merge_shows(rows: DataFrame) -> DataFrame:
     """One row per show: domains in the order first seen, feed of the first row."""
     first = rows.groupBy("show_id", "domain").agg(F.min("seq").alias("seq"), F.min_by("feed_url", "seq").alias("feed_url"))
     return first.groupBy("show_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "domain"))), lambda s: s["domain"]).alias("domains"), F.min_by("feed_url", "seq").alias("feed_url"))
+
+
+def show_id(feed_id: str, guid: str, title: str, domain: str) -> Column:
+    """The id of a feed: by its number, else its guid, else its domain and title, where each character that is neither a
+    letter nor a digit is a hyphen."""
+    name = F.regexp_replace(F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(title), F.lit("untitled")))), r"[^\p{L}\p{N}]", "-"), "^-+|-+$", "")
+    by_name = F.concat_ws("-", F.col(domain), F.when(name == "", "untitled").otherwise(name))
+    return F.coalesce(F.concat(F.lit("pi-"), F.col(feed_id).cast("string")), F.concat(F.lit("guid-"), F.nullif(F.col(guid), F.lit(""))), by_name)

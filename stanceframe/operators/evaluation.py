@@ -74,6 +74,13 @@ def fragmentation(nodes: DataFrame, probes: DataFrame) -> DataFrame:
     return probes.select("probe").join(found, "probe", "left").withColumn("fragments", F.coalesce("fragments", F.lit(0)).cast("bigint"))
 
 
+def fragmentation_report(found: DataFrame) -> DataFrame:
+    """One row of `fragmentation`: n_probes, mean_fragments (0 without probes), and the worst probe with its fragments; of
+    equally bad ones the first by name."""
+    worst = F.min_by(F.struct("probe", "fragments"), F.struct(-F.col("fragments"), F.col("probe"))).alias("worst")
+    return found.agg(F.count(F.lit(1)).alias("n_probes"), F.coalesce(F.avg("fragments"), F.lit(0.0)).alias("mean_fragments"), worst).select("n_probes", "mean_fragments", F.col("worst.probe").alias("worst_probe"), F.col("worst.fragments").alias("worst_fragments"))
+
+
 def approach_score(run: DataFrame) -> DataFrame:
     """Rates of a run from its one row of counts; a division by nothing is 0, a parse rate without attempts is null."""
     ratio = lambda a, b: F.coalesce(F.call_function("try_divide", F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))

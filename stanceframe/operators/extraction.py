@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp
 from ..functions.text_udfs import match_score
 from ..schemas import ENTITY_TYPES, STANCES
+from .predicates import PREDICATES, map_predicate
 
 #: Seconds that a span may lie outside its chunk.
 TOLERANCE = 0.05
 ITEM = "struct<speaker_label: string, predicate: string, subject: string, subject_type: string, object: string, stance: string, sentiment: string, confidence: string, t_start: string, t_end: string>"
 
 
-def map_predicate(raw: Column | str, vocabulary: list[str], synonyms: Mapping[str, str] | None = None) -> Column:
-    """A word of the vocabulary: as it stands, as a synonym, without or with a final s, or the first word that is one; else null."""
-    text = F.trim(F.regexp_replace(F.lower(raw if isinstance(raw, Column) else F.col(raw)), "[^a-z0-9]+", " "))
-    key = F.regexp_replace(text, " ", "_")
-    table = {v: v for v in vocabulary} | dict(synonyms or {})
-    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    look = lambda c: F.try_element_at(known, c)
-    by_word = F.filter(F.transform(F.split(text, " "), lambda w: F.coalesce(look(w), look(F.concat(w, F.lit("s"))), look(F.regexp_replace(w, "s$", "")))), lambda v: v.isNotNull())
-    return F.coalesce(look(key), look(text), look(F.regexp_replace(key, "s$", "")), look(F.concat(key, F.lit("s"))), F.try_element_at(by_word, F.lit(1)))
-
-
-def parse_claims(outputs: DataFrame, vocabulary: list[str], synonyms: Mapping[str, str] | None = None) -> DataFrame:
+def parse_claims(outputs: DataFrame, vocabulary: Sequence[str] = PREDICATES, synonyms: Mapping[str, str] | None = None) -> DataFrame:
     """Items of raw model output (chunk_id, raw, labels, c_start, c_end) with the reason why one is dropped, else null.
 
     What is not a JSON object with a list of claims gives one row with the reason ``not_json``.
@@ -43,7 +33,7 @@ def parse_claims(outputs: DataFrame, vocabulary: list[str], synonyms: Mapping[st
         .when(start.isNull() | end.isNull(), "no_times").when(end < start, "span_reversed").when((start < F.col("c_start") - TOLERANCE) | (end > F.col("c_end") + TOLERANCE), "outside_chunk")
         .when(F.coalesce(F.trim(x("subject")), F.lit("")) == "", "no_subject").when(~F.coalesce(stance.isin(*STANCES), F.lit(False)), "unknown_stance").when(x("object").isNull(), "no_object")
     )
-    inside = lambda c: F.greatest(F.col("c_start"), F.least(F.col("c_end"), c))
+    inside = lambda c: F.when(c.isNotNull(), F.greatest(F.col("c_start"), F.least(F.col("c_end"), c)))
     kind = F.lower(F.trim(x("subject_type")))
     return rows.select(
         "chunk_id", "item_idx", x("speaker_label").alias("speaker_label"), predicate.alias("predicate"), F.trim(x("subject")).alias("subject"),
@@ -99,5 +89,17 @@ def resolve_roster(labels: DataFrame, roster: DataFrame) -> DataFrame:
 
 def fold_claims(claims: DataFrame, key: str) -> DataFrame:
     """The first row by claim_seq of each key."""
-    order = Window.partitionBy(key).orderBy("claim_seq")
-    return claims.withColumn("at", F.row_number().over(order)).where("at = 1").drop("at")
+    return claims.groupBy(key).agg(F.min_by(F.struct(*[c for c in claims.columns if c != key]), "claim_seq").alias("first")).select(key, "first.*").select(*claims.columns)
+
+
+def chunk_prompts(chunks: DataFrame, segments: DataFrame, vocabulary: Sequence[str] = PREDICATES) -> DataFrame:
+    """(episode_id, chunk_index, prompt) of packed chunks: the episode, the window, who speaks, the lines, and what to return."""
+    inside = segments.select("episode_id", "seg_idx", "speaker").join(chunks.select("episode_id", "chunk_index", "first_idx", "last_idx"), "episode_id").where("seg_idx between first_idx and last_idx")
+    who = inside.groupBy("episode_id", "chunk_index").agg(F.array_join(F.array_sort(F.collect_set("speaker")), ", ").alias("who"))
+    fields = "speaker_label, predicate, subject, subject_type (" + "|".join(ENTITY_TYPES) + "), object, stance (" + "|".join(STANCES) + "), sentiment (-1 to 1), confidence (0 to 1), t_start, t_end (seconds, inside the window)"
+    task = f'Return JSON {{"claims": [...]}}, one object for each claim that a line supports, with {fields}. Predicates: {", ".join(vocabulary)}. Without claims return {{"claims": []}}.'
+    text = F.concat(
+        F.lit("Episode "), "episode_id", F.lit("\nSeconds "), F.format_string("%.2f to %.2f", "t_start", "t_end"), F.lit("\nSpeakers: "), "who",
+        F.lit("\nLines, each as [start-end] SPEAKER: text\n\n"), "text", F.lit("\n\n" + task),
+    )
+    return chunks.join(who, ["episode_id", "chunk_index"]).select("episode_id", "chunk_index", text.alias("prompt"))

@@ -44,17 +44,22 @@ def gallery(samples: DataFrame) -> DataFrame:
     return each.groupBy("host_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("centroid"))
 
 
-def match_voices(voices: DataFrame, hosts: DataFrame, threshold: float = 0.75, margin: float = 0.05, most_hosts: int = 100_000) -> DataFrame:
+def match_voices(voices: DataFrame, hosts: DataFrame, threshold: float = 0.75, margin: float = 0.05, hosts_per_part: int = 10_000) -> DataFrame:
     """(voice_id, host_id, score): the nearest host, null unless it reaches the threshold and leads the second by the margin.
 
-    Every voice meets every host, so the hosts are sent to all tasks; their number is checked.
+    Every voice meets every host. Hosts are dealt into parts of about ``hosts_per_part``, so a row holds a part of the
+    gallery however large it is (and a small one is sent to all tasks by Spark's own size check); each part gives its two
+    best, which are merged.
     """
-    if (n := hosts.limit(most_hosts + 1).count()) > most_hosts:
-        raise ValueError(f"{n} hosts or more: block them first")
-    scored = voices.crossJoin(F.broadcast(hosts)).select("voice_id", F.struct(cosine("vector", "centroid").alias("score"), F.col("host_id")).alias("m"))
-    tops = scored.groupBy("voice_id").agg(F.max("m").alias("best"), F.max_by("m.host_id", F.struct("m.score", F.col("m.host_id"))).alias("host"), F.expr("slice(sort_array(collect_list(m.score), false), 2, 1)[0]").alias("second"))
+    parts = max(1, -(-hosts.count() // hosts_per_part))
+    dealt = hosts.select(F.pmod(F.xxhash64("host_id"), F.lit(parts)).cast("int").alias("part"), F.struct("host_id", "centroid").alias("h")).groupBy("part").agg(F.collect_list("h").alias("some"))
+    # a voice meets each part of the gallery once
+    asked = voices.select("voice_id", "vector", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).join(dealt, "part")
+    scores = F.transform("some", lambda h: F.struct(cosine(F.col("vector"), h["centroid"]).alias("score"), h["host_id"].alias("host_id")))
+    two = asked.select("voice_id", F.explode(F.slice(F.sort_array(scores, False), 1, 2)).alias("m"))
+    tops = two.groupBy("voice_id").agg(F.slice(F.sort_array(F.collect_list("m"), False), 1, 2).alias("tops")).select("voice_id", F.get("tops", F.lit(0)).alias("best"), F.get("tops", F.lit(1))["score"].alias("second"))
     ok = (F.col("best.score") >= threshold) & (F.col("best.score") - F.coalesce("second", F.lit(-1.0)) >= margin)
-    return tops.select("voice_id", F.when(ok, F.col("host")).alias("host_id"), F.col("best.score").alias("score"))
+    return tops.select("voice_id", F.when(ok, F.col("best.host_id")).alias("host_id"), F.col("best.score").alias("score"))
 
 
 def recurring_guests(appearances: DataFrame, candidates: DataFrame | None = None, least: int = 2) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Moment = dt.datetime | str | None
@@ -82,16 +82,20 @@ def query_claims(claims: DataFrame, edges: DataFrame, speakers: DataFrame, entit
     return claims.join(first, "claim_id", "left").join(names, "speaker_id", "left").join(subjects, "subject_canonical_id", "left").orderBy("claim_id")
 
 
+def _best(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The row of each key that is largest in this order; aggregated partially, so a key with many rows stays small."""
+    best = rows.groupBy(key).agg(F.max_by(F.struct(*[c for c in rows.columns if c != key]), F.struct(*order)).alias("best"))
+    return best.select(key, "best.*").select(*rows.columns)
+
+
 def upsert_edges(stored: DataFrame, loaded: DataFrame) -> DataFrame:
     """Last load wins, but a live reload never replaces an invalidated edge. Both need ``load_seq``."""
-    order = Window.partitionBy("edge_id").orderBy(F.col("invalidated").desc(), F.col("load_seq").desc())
-    return stored.unionByName(loaded).withColumn("at", F.row_number().over(order)).where("at = 1").drop("at")
+    return _best(stored.unionByName(loaded), "edge_id", F.col("invalidated"), F.col("load_seq"))
 
 
 def upsert_latest(stored: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
     """Last load wins (speakers, claims)."""
-    order = Window.partitionBy(key).orderBy(F.col("load_seq").desc())
-    return stored.unionByName(loaded).withColumn("at", F.row_number().over(order)).where("at = 1").drop("at")
+    return _best(stored.unionByName(loaded), key, F.col("load_seq"))
 
 
 def upsert_entities(stored: DataFrame, loaded: DataFrame) -> DataFrame:

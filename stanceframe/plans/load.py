@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import claim_id
 from ..operators.relations import asserted_edges, derived_edges
 from ..operators.temporal import upsert_edges, upsert_latest
+from ..sources.storage import list_names, read_text, remove, write_text
 
 
 def loadable(claims: DataFrame) -> DataFrame:
@@ -35,22 +36,51 @@ def edge_rows(claims: DataFrame, ingested: str, load_seq: int, secondary: DataFr
 
 
 class VersionedTable:
-    """A Parquet table whose versions are folders; a small pointer file names the current one and is replaced at once."""
+    """A Parquet table on shared storage whose versions are lists of folders.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, Path(path)
+    Each version is a small file of its own that appears whole, so a writer that dies leaves the table as it was, and of
+    two that write the same version one fails. ``append`` adds a folder and rewrites nothing; ``replace`` starts anew.
+    The last ``keep`` versions stay readable; folders of older ones are removed.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, keep: int = 2):
+        self.spark, self.path, self.keep = spark, path.rstrip("/"), keep
+
+    def _versions(self) -> list[str]:
+        return [n for n in list_names(self.spark, self.path) if n.startswith("VERSION-") and not n.endswith(".part")]
+
+    def _folders(self, version: str) -> list[str]:
+        return json.loads(read_text(self.spark, f"{self.path}/{version}"))
 
     def current(self) -> DataFrame | None:
-        pointer = self.path / "CURRENT"
-        return self.spark.read.parquet(str(self.path / pointer.read_text())) if pointer.exists() else None
+        versions = self._versions()
+        if not versions:
+            return None
+        found = [self.spark.read.parquet(f"{self.path}/{f}") for f in self._folders(versions[-1])]
+        out = found[0]
+        for frame in found[1:]:
+            out = out.unionByName(frame)
+        return out
+
+    def _add(self, rows: DataFrame, kept: list[str], partition_by: tuple[str, ...]) -> DataFrame:
+        versions, folder = self._versions(), f"data-{uuid.uuid4().hex}"
+        rows.write.partitionBy(*partition_by).parquet(f"{self.path}/{folder}")
+        n = int(versions[-1].removeprefix("VERSION-")) + 1 if versions else 0
+        write_text(self.spark, f"{self.path}/VERSION-{n:012d}", json.dumps([*kept, folder]))
+        versions = self._versions()
+        live = {f for v in versions[-self.keep :] for f in self._folders(v)}
+        for version in versions[: -self.keep]:
+            for old in set(self._folders(version)) - live:
+                remove(self.spark, f"{self.path}/{old}")
+            remove(self.spark, f"{self.path}/{version}")
+        return self.current()
+
+    def append(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
+        versions = self._versions()
+        return self._add(rows, self._folders(versions[-1]) if versions else [], partition_by)
 
     def replace(self, rows: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.partitionBy(*partition_by).parquet(str(self.path / version))
-        part = self.path / f"CURRENT.{version}"
-        part.write_text(version)
-        part.replace(self.path / "CURRENT")
-        return self.spark.read.schema(rows.schema).parquet(str(self.path / version))
+        return self._add(rows, [], partition_by)
 
 
 class GraphTables:

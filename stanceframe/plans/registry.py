@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.text_udfs import html_to_text
-from ..operators import charts, consensus, evaluation, extraction, identity, relations, retrieval, segments, temporal
+from ..operators import charts, consensus, evaluation, extraction, identity, predicates, relations, retrieval, segments, temporal
 from ..sources import jobs
 from .projection import CLAIMS, EDGES, SEGMENTS, claims, edges, segments as segment_rows, table, vectors, with_
 
@@ -263,10 +263,10 @@ def crosstalk_islands(spark, sf_dir):
     return segments.crosstalk(segment_rows(spark, sf_dir)).select("episode_id", "island", "lo", "hi")
 
 
-WORDS = "words AS (SELECT episode_id, seg_idx AS word_idx, t_start + 4.6 AS w_start, t_start + 5.2 AS w_end FROM segments WHERE seg_idx < 60)"
+WORDS = "words AS (SELECT episode_id, seg_idx AS word_idx, t_start + 4.6 AS w_start, t_start + 5.2 AS w_end FROM segments)"
 
 
-@query(with_(SEGMENTS, WORDS) + """, o AS (SELECT w.episode_id, w.word_idx, g.speaker, g.t_start, g.t_end, greatest(0, least(w_end, g.t_end) - greatest(w_start, g.t_start)) AS seconds, greatest(0, g.t_start - (w_start + w_end) / 2, (w_start + w_end) / 2 - g.t_end) AS gap FROM words w JOIN segments g USING (episode_id) WHERE g.seg_idx % 2 = 0),
+@query(with_(SEGMENTS, WORDS) + """, o AS (SELECT w.episode_id, w.word_idx, g.speaker, g.t_start, g.t_end, greatest(0, least(w_end, g.t_end) - greatest(w_start, g.t_start)) AS seconds, greatest(0, g.t_start - (w_start + w_end) / 2, (w_start + w_end) / 2 - g.t_end) AS gap FROM words w JOIN segments g USING (episode_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY episode_id, word_idx ORDER BY -seconds, CASE WHEN seconds > 0 THEN 0 ELSE gap END, t_start, t_end, speaker) AS nth FROM o) SELECT w.episode_id, w.word_idx, coalesce(r.speaker, 'SPEAKER_00') AS speaker FROM words w LEFT JOIN r ON r.episode_id = w.episode_id AND r.word_idx = w.word_idx AND nth = 1""")
 def word_to_turn_overlap(spark, sf_dir):
     g = segment_rows(spark, sf_dir)
@@ -274,11 +274,6 @@ def word_to_turn_overlap(spark, sf_dir):
     return segments.words_to_speakers(words, g).select("episode_id", "word_idx", "speaker")
 
 
-@query()
-def packed_chunks(spark, sf_dir):
-    return segments.packed_chunks(segment_rows(spark, sf_dir), 800, 1)
-
-
 @query()
 def resegmented_words(spark, sf_dir):
     w = segment_rows(spark, sf_dir).select("episode_id", "speaker", F.posexplode(F.split("text", " ")).alias("i", "text"), "seg_idx")
@@ -305,7 +300,7 @@ def candidates_topk_by_type(spark, sf_dir):
     return retrieval.topk_by_type(mentions, entities, 5).select("mention_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), *nine("score"))
 
 
-DOCS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE lang = 'en')"
+DOCS = "docs AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents)"
 QUESTIONS = "questions AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark)"
 SCORES = """n AS (SELECT count(*) AS n_docs, avg(len(words)) AS avgdl FROM docs), p AS (SELECT doc_id, len(words) AS length, unnest(words) AS term FROM docs),
 tf AS (SELECT doc_id, length, term, count(*) AS tf FROM p GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT query_id, term, count(*) AS qtf FROM questions GROUP BY ALL),
@@ -333,7 +328,7 @@ def rrf_fusion(spark, sf_dir):
     return retrieval.fuse(lists, weights=[1.0, 0.5]).select("id", *nine("score"))
 
 
-LINKS = "links AS (SELECT DISTINCT o_custkey AS id, o_orderkey % 1000 AS neighbour FROM orders WHERE o_custkey <= 200)"
+LINKS = "links AS (SELECT DISTINCT o_custkey AS id, o_orderkey % 1000 AS neighbour FROM orders)"
 
 
 @query(with_(LINKS) + """, g AS (SELECT id, neighbour FROM links UNION SELECT neighbour, id FROM links), h1 AS (SELECT DISTINCT neighbour AS id FROM g WHERE id IN (1, 2)),
@@ -387,7 +382,7 @@ def gallery_match_margin(spark, sf_dir):
     return identity.match_voices(v.where("vec_id % 2 = 1").select(F.col("vec_id").alias("voice_id"), F.col("embedding").alias("vector")), hosts, 0.2, 0.05).select("voice_id", "host_id", *nine("score"))
 
 
-@query("""WITH a AS (SELECT o_orderkey AS seq, 'ep-' || (o_orderkey % 50) AS episode_id, 'Guest ' || (o_custkey % 30) AS name FROM orders WHERE o_custkey % 3 <> 0) SELECT lower(name) AS key, count(DISTINCT episode_id) AS n_episodes, arg_min(name, seq) AS name, 'guest-' || trim(regexp_replace(lower(arg_min(name, seq)), '[^a-z0-9]+', '-', 'g'), '-') AS guest_id FROM a GROUP BY 1 HAVING count(DISTINCT episode_id) >= 2""")
+@query("""WITH a AS (SELECT o_orderkey AS seq, 'ep-' || (o_orderkey % 50) AS episode_id, 'Guest ' || (o_custkey % 30) AS name FROM orders) SELECT lower(name) AS key, count(DISTINCT episode_id) AS n_episodes, arg_min(name, seq) AS name, 'guest-' || trim(regexp_replace(lower(arg_min(name, seq)), '[^a-z0-9]+', '-', 'g'), '-') AS guest_id FROM a GROUP BY 1 HAVING count(DISTINCT episode_id) >= 2""")
 def recurring_guests(spark, sf_dir):
     a = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("ep-"), (F.col("o_orderkey") % 50).cast("string")).alias("episode_id"), F.concat(F.lit("Guest "), (F.col("o_custkey") % 30).cast("string")).alias("name"), F.lit(False).alias("from_metadata"))
     return identity.recurring_guests(a)
@@ -400,15 +395,6 @@ def canonical_speakers(spark, sf_dir):
     return identity.canonical_speakers(n)
 
 
-@query()
-def cascade_tiers(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    kind = F.element_at(F.array(F.lit("person"), F.lit("organization"), F.lit("concept"), F.lit("work")), (F.col("label") % 4 + 1).cast("int"))
-    e = v.where("vec_id % 5 = 0").select(F.col("vec_id").alias("canonical_id"), kind.alias("entity_type"), F.concat(F.lit("Name "), F.col("vec_id").cast("string")).alias("canonical_name"), F.when(F.col("vec_id") % 50 == 0, F.concat(F.lit("Q"), F.col("vec_id").cast("string"))).alias("qid"), "embedding", F.lit(None).cast("array<string>").alias("aliases"), F.col("vec_id").alias("insert_seq"))
-    m = v.select(F.col("vec_id").alias("mention_id"), kind.alias("entity_type"), F.concat(F.lit("name  "), (F.col("vec_id") * 3).cast("string")).alias("name"), F.concat(F.lit("Q"), (F.col("vec_id") * 7).cast("string")).alias("qid"), F.col("embedding").alias("vector"))
-    return identity.cascade(m, e).select("mention_id", "canonical_id", "tier", *nine("score"))
-
-
 @query()
 def greedy_clusters(spark, sf_dir):
     v = vectors(spark, sf_dir)
@@ -517,7 +503,7 @@ def parse_hms(spark, sf_dir):
     return c.select("conv_id", "turn", S.parse_hms(text).alias("seconds"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[x] (Laughs loudly) ' || left(text, 200), '\\[[^\\]]*\\]', ' ', 'g'), '\\(\\s*(laughs?|laughing|laughter|music|applause|crosstalk|inaudible|unintelligible|sighs?|pause|silence|noise|chuckles?|coughs?)[^)]*\\)', ' ', 'gi'), '\\s+', ' ', 'g')) AS text FROM documents""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace('[x] (Laughs loudly) ' || text, '\\[[^\\]]*\\]', ' ', 'g'), '\\(\\s*(laughs?|laughing|laughter|music|applause|crosstalk|inaudible|unintelligible|sighs?|pause|silence|noise|chuckles?|coughs?)[^)]*\\)', ' ', 'gi'), '\\s+', ' ', 'g')) AS text FROM documents""")
 def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.clean_text(F.concat(F.lit("[x] (Laughs loudly) "), "text")).alias("text"))
 
@@ -537,13 +523,24 @@ def slug_ids(spark, sf_dir):
     return pages.join(parts, F.col("p_partkey") == F.col("page_id") + 1).select("page_id", S.host_of("url").alias("host"), S.slug("p_name").alias("slug"))
 
 
-PREDICATES = {"raises": "predicts", "builds": "asserts"}
+#: Wordings that are in the vocabulary, mean a word of it, hold one, or say nothing of it.
+WORDINGS = [
+    *predicates.PREDICATES, "Rates_Positive", "RATES-POSITIVE", "  forecasts  ", "anticipates", "bullish on", "Bearish", "praises", "concurs", "casts  doubt_on", "predict", "endorse", "strongly criticizes", "clearly forecasts it",
+    "rates", "positive", "negative", "flibbertigibbets", "", "   ", "backss", "agree to disagree", "it supports", "question-s",
+]
+WORDED = "list_extract([" + ", ".join(f"'{w}'" for w in WORDINGS) + f"], 1 + (event_id % {len(WORDINGS)})::INTEGER)"
+VOCABULARY = "vocab AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in predicates.PREDICATES) + "]) AS p), syn AS (SELECT unnest([" + ", ".join(f"{{'w': '{w}', 'p': '{p}'}}" for p, many in predicates.SYNONYMS.items() for w in many) + "]) AS s)"
 
 
-@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'buys' WHEN 'click' THEN 'asserts' WHEN 'view' THEN 'predicts' END AS predicate FROM events""")
+@query(f"""WITH {VOCABULARY}, spaced AS (SELECT replace(p, '_', ' ') AS w, p FROM vocab), alone AS (SELECT w, p FROM (SELECT unnest(string_split(p, '_')) AS w, p FROM vocab) WHERE w NOT IN ('rates', 'positive', 'negative')),
+raw AS (SELECT DISTINCT {WORDED} AS raw FROM events), t AS (SELECT raw, trim(regexp_replace(lower(raw), '[\s_\-]+', ' ', 'g')) AS t FROM raw), forms AS (SELECT raw, t, CASE WHEN t LIKE '%s' THEN t[:-2] END AS one FROM t),
+words AS (SELECT raw, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS nth FROM t),
+worded AS (SELECT raw, arg_min(coalesce(a.p, b.p), nth) AS p FROM words LEFT JOIN alone a ON a.w = words.w LEFT JOIN alone b ON words.w LIKE '%s' AND b.w = words.w[:-2] WHERE coalesce(a.p, b.p) IS NOT NULL GROUP BY 1),
+mapped AS (SELECT f.raw, coalesce((SELECT p FROM spaced WHERE w = t), (SELECT s.p FROM syn WHERE s.w = t), (SELECT p FROM spaced WHERE w = one), (SELECT s.p FROM syn WHERE s.w = one), (SELECT p FROM spaced WHERE w = t || 's'), (SELECT p FROM worded WHERE worded.raw = f.raw)) AS predicate FROM forms f)
+SELECT event_id, predicate FROM (SELECT event_id, {WORDED} AS raw FROM events) JOIN mapped USING (raw)""")
 def predicate_mapping(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "purchase", "BUY").when(F.col("event_type") == "click", "strongly builds up").when(F.col("event_type") == "view", "raises").otherwise("no idea")
-    return table(spark, sf_dir, "events").select("event_id", extraction.map_predicate(raw, ["buys", "predicts", "asserts"], PREDICATES).alias("predicate"))
+    raw = F.get(F.array(*[F.lit(w) for w in WORDINGS]), (F.col("event_id") % len(WORDINGS)).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", predicates.map_predicate(raw).alias("predicate"))
 
 
 @query(with_(CLAIMS) + "SELECT claim_id, array_to_string(list_filter([CASE WHEN stance = 'hedges' THEN 'stance' END, CASE WHEN sentiment > 0.5 THEN 'sentiment' END, CASE WHEN subject = 'ent-7' THEN 'subject' END], lambda x: x IS NOT NULL), ',') AS reasons FROM claims")
@@ -552,14 +549,6 @@ def claim_validation(spark, sf_dir):
     return extraction.validate_claims(c).select("claim_id", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query()
-def claim_extraction(spark, sf_dir):
-    item = F.to_json(F.struct(F.array(F.struct(F.col("speaker").alias("speaker_label"), F.lit("asserts").alias("predicate"), F.substring("text", 1, 12).alias("subject"), F.lit("Person").alias("subject_type"), F.col("text").alias("object"), F.lit("asserts").alias("stance"), (F.col("seg_idx") * 0.5).alias("sentiment"), F.col("t_start"), F.col("t_end"))).alias("claims")))
-    s = segment_rows(spark, sf_dir)
-    out = s.select(F.concat_ws("#", "episode_id", "seg_idx").alias("chunk_id"), F.when(F.col("seg_idx") % 5 == 4, "not json").otherwise(item).alias("raw"), F.array(F.lit("user"), F.lit("assistant")).alias("labels"), F.col("t_start").alias("c_start"), (F.col("t_end") - F.col("seg_idx") % 2).alias("c_end"))
-    return extraction.parse_claims(out, ["asserts"])
-
-
 @query()
 def grounded_claims(spark, sf_dir):
     s = segment_rows(spark, sf_dir)
@@ -570,3 +559,6 @@ def grounded_claims(spark, sf_dir):
 @query()
 def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html_to_text("html").alias("text"))
+
+
+from . import registry_more  # noqa: E402, F401

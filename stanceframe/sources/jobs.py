@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schemas import JOB_STATUSES
@@ -17,8 +17,8 @@ def status_counts(jobs: DataFrame) -> DataFrame:
 def new_items(items: DataFrame, known: DataFrame, key: str) -> DataFrame:
     """The first item by seq of each key that is not known; blank keys are left out."""
     fresh = items.where(F.coalesce(F.trim(key), F.lit("")) != "").join(known.select(key).distinct(), key, "left_anti")
-    order = Window.partitionBy(key).orderBy("seq")
-    return fresh.withColumn("at", F.row_number().over(order)).where("at = 1").drop("at")
+    first = fresh.groupBy(key).agg(F.min_by(F.struct(*[c for c in items.columns if c != key]), "seq").alias("first"))
+    return first.select(key, "first.*").select(*items.columns)
 
 
 def content_dedupe(blobs: DataFrame, order_col: str) -> DataFrame:

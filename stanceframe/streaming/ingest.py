@@ -24,8 +24,9 @@ def ingest_items(spark: SparkSession, source: str, schema: str, table: str, chec
     def batch(rows: DataFrame, epoch: int) -> None:
         known = items.current()
         rows = rows.withColumn("seq", F.monotonically_increasing_id())
+        # an epoch that runs again finds its keys known, so it appends nothing
         fresh = new_items(rows, known if known is not None else rows.limit(0), key).drop("seq").withColumn("epoch", F.lit(epoch).cast("bigint"))
-        items.replace(known.where(F.col("epoch") != epoch).unionByName(fresh) if known is not None else fresh)
+        items.append(fresh)
 
     return run_available(spark.readStream.schema(schema).json(source), checkpoint, batch)
 
