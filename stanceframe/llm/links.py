@@ -14,6 +14,8 @@ from .common import MembershipFilter, materialize, mix64, slices
 
 #: Characters or shingles of payloads that are handled at once; a shingle takes eight bytes in several arrays.
 PART = 1 << 18
+#: A further pivot pays while one in so many of its pairs is a link.
+JOINS_OF_PIVOT = 10
 #: Sets that hold a shingle, at most, for a task to form its pairs in memory.
 HELD_BY = 2048
 #: Band keys or shingles that a task sorts at once, and about as many in a range of them.
@@ -133,55 +135,73 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
         order = np.lexsort((flat, holders, each))
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         first = (place < sizes[each] - -(-percent * sizes[each] // 100) + 1) & (holders[order] > 0)
+        kept = np.bincount(each[first], minlength=len(sizes))
         each, at = pa.array(each[first]), order[first]
         taken = [table[c].take(each) for c in ("id", "component", "stray")]
-        return pa.table([*taken, pa.array(flat[at].view(np.int64)), pa.array(holders[at]), pa.array(place[first]), pa.array(sizes).take(each)], names=["id", "component", "stray", "shingle", "holders", "place", "n"])
+        return pa.table([*taken, pa.array(flat[at].view(np.int64)), pa.array(holders[at]), pa.array(place[first]), pa.array(sizes).take(each), pa.array(kept).take(each)], names=["id", "component", "stray", "shingle", "holders", "place", "n", "kept"])
 
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
     sent = blocks.groupBy("block").applyInArrow(count, "range int, block int, shingles binary, held binary, component binary, wide binary")
     counted = sent.groupBy("range").applyInArrow(add, "block int, range int, holders binary")
-    first = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "id bigint, component bigint, stray boolean, shingle bigint, holders bigint, place bigint, n bigint")
+    first = blocks.groupBy("block").cogroup(counted.groupBy("block")).applyInArrow(prefixes, "id bigint, component bigint, stray boolean, shingle bigint, holders bigint, place bigint, n bigint, kept bigint")
     first = materialize(first, "prefixes")
     # shingles that the very same sets hold propose the same pairs: the first of them in the order is enough, as it is
     # also the first that any two of these sets have in common
     held = first.groupBy("shingle").agg(F.min("holders").alias("holders"), F.min("id").alias("least"), F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("of"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("stray").alias("any"))
-    chosen = held.where("any and lo <> hi").groupBy("least", "m", "of").agg(F.min(F.struct("holders", "shingle")).alias("s")).select("s.shingle", "m")
+    chosen = held.where("any and lo <> hi").groupBy("least", "m", "of").agg(F.min(F.struct("holders", "shingle")).alias("s"), F.count(F.lit(1)).alias("weight")).select("s.shingle", "m", "weight")
     ranged = F.expr(f"cast(shiftrightunsigned(shingle, 32) * {n} div 4294967296 as int)")
     first = materialize(first.drop("holders").join(chosen, "shingle").withColumn("range", ranged), "first-shingles")
 
+    # sets share what both prefixes hold, and at most the rest of the one that ends first: so much must be in both prefixes
+    rest_of = lambda n: -(-percent * n // 100) - 1
+
     def propose(table: pa.Table) -> pa.Table:
-        """The pairs of a range of shingles, each once, however many shingles the two share in it."""
-        ids, who = np.unique(table["id"].to_numpy(), return_inverse=True)
-        component, place, size, stray = (table[c].to_numpy() for c in ("component", "place", "n", "stray"))
+        """The pairs of a range of shingles, each once, with how many shingles of the range both prefixes hold.
+
+        Pairs that could not share enough if all else in their prefixes were common are left out.
+        """
+        ids, at, who = np.unique(table["id"].to_numpy(), return_index=True, return_inverse=True)
+        component, place, size, stray, weight = (table[c].to_numpy() for c in ("component", "place", "n", "stray", "weight"))
+        n_of, outside = size[at], table["kept"].to_numpy()[at] - np.bincount(who, weight, len(ids)).astype(np.int64)
         order, heads = _distinct(table["shingle"].to_numpy().view(np.uint64))
-        many, found, held = np.diff(np.r_[heads, len(order)]), [np.zeros(0, np.int64)], 0
+        many, found, held = np.diff(np.r_[heads, len(order)]), [(np.zeros(0, np.int64),) * 2], 0
+
+        def sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            return codes, np.bincount(place, np.concatenate([w for _, w in parts]), len(codes)).astype(np.int64)
+
         for m in np.unique(many[many > 1]).tolist():
             i, j = np.triu_indices(m, 1)
-            at = heads[many == m]
-            step = max(1, RANGE_KEYS // len(i))
-            for lo in range(0, len(at), step):
-                rows = order[at[lo : lo + step, None] + np.arange(m)]
+            begins = heads[many == m]
+            step = max(1, (RANGE_KEYS >> 3) // len(i))
+            for lo in range(0, len(begins), step):
+                rows = order[begins[lo : lo + step, None] + np.arange(m)]
                 x, y = rows[:, i].ravel(), rows[:, j].ravel()
                 near = (component[x] != component[y]) & (stray[x] | stray[y])
-                near &= (100 + percent) * np.minimum(size[x] - place[x], size[y] - place[y]) >= percent * (size[x] + size[y])
-                x, y = who[x[near]], who[y[near]]
-                found.append(np.unique(np.minimum(x, y) * len(ids) + np.maximum(x, y)))
-                held += len(found[-1])
-                if held > 4 * RANGE_KEYS:
-                    found, held = [np.unique(np.concatenate(found))], 0
-        pairs = np.unique(np.concatenate(found))
-        return pa.table({"a": ids[pairs // len(ids)], "b": ids[pairs % len(ids)]})
-
-    proposed = first.where(F.col("m") <= HELD_BY).groupBy("range").applyInArrow(propose, "a bigint, b bigint")
+                near &= (100 + percent) * np.minimum(size[x], size[y]) >= percent * (size[x] + size[y])
+                x, y, w = who[x[near]], who[y[near]], weight[x[near]]
+                found.append(sums([(np.minimum(x, y) * len(ids) + np.maximum(x, y), w)]))
+                held += len(found[-1][0])
+                if held > RANGE_KEYS:
+                    found, held = [sums(found)], 0
+        codes, both = sums(found)
+        x, y = codes // len(ids), codes % len(ids)
+        need = -(-percent * (n_of[x] + n_of[y]) // (100 + percent)) - np.maximum(rest_of(n_of[x]), rest_of(n_of[y]))
+        fine = both + np.minimum(outside[x], outside[y]) >= need
+        return pa.table({"a": ids[x[fine]], "b": ids[y[fine]], "both": both[fine], "need": need[fine]})
+
+    proposed = first.where(F.col("m") <= HELD_BY).groupBy("range").applyInArrow(propose, "a bigint, b bigint, both bigint, need bigint")
     # shingles of more sets are left to a join, which Spark splits where one makes too many rows
     often = first.where(F.col("m") > HELD_BY)
-    x = often.where("stray").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "place", "n")])
-    y = often.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "stray", "place", "n")])
-    # what can still be shared from the first common shingle on; two strays meet once
-    reach = (100 + percent) * F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) >= percent * (F.col("n_x") + F.col("n_y"))
+    x = often.where("stray").select("shingle", "weight", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n")])
+    y = often.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "stray", "n")])
+    # two strays meet once
     once = ~F.col("stray_y") | (F.col("id_x") < F.col("id_y"))
-    met = x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & once & reach)
-    return proposed.unionByName(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"))).distinct()
+    length = (100 + percent) * F.least("n_x", "n_y") >= percent * (F.col("n_x") + F.col("n_y"))
+    met = x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & once & length)
+    need = F.expr(f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent} - (({percent} * greatest(n_x, n_y) + 99) div 100 - 1)")
+    met = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.col("weight").alias("both"), need.alias("need"))
+    return proposed.unionByName(met).groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b")
 
 
 def _band_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -256,8 +276,9 @@ def link_components(
 
     Nodes that share a band key are in one bucket. The components are those of the graph of *all* pairs within buckets
     that ``agree`` confirms, without looking at all of them: first every member meets the bucket's smallest one, after
-    which all pairs of that one are settled; then, where the other members still lie in several components, pairs across
-    them are proposed by their rarest shingles (`_prefix_pairs`), which loses none.
+    which all pairs of that one are settled; where the others still lie in several components they meet the smallest of
+    these, and so on while one pair in ``JOINS_OF_PIVOT`` is a link; for what is then left in several components, pairs
+    across them are proposed by their rarest shingles (`_prefix_pairs`), which loses none.
 
     ``payload(ids)`` gives (id, payload); ``agree`` filters (a, b, x, y), x and y the payloads of a and b, to the links,
     which must be the pairs whose ``shingles`` (distinct, as 64-bit words) have a Jaccard similarity of ``percent`` at least.
@@ -301,11 +322,24 @@ def link_components(
     rest = materialize(apart.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         labels = merged(labels, verified(rest))
-    # all pairs of the pivots are settled; of two other members in different components one at least is outside the largest
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    open_ids = placed.join(largest, "key").groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
+    tried, going = first.unionByName(rest), True
+    while True:
+        # all pairs of the pivots are settled; where the others lie in several components they get another pivot, as long
+        # as that joins many of them: the first one may be unlike the rest of a large group
+        placed = members.where("id <> pivot").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
+        of_key = [F.max_by("component", F.struct("n", "component")).alias("largest"), F.min(F.struct("least", "component")).alias("p"), F.count(F.lit(1)).alias("parts")]
+        several = parts.groupBy("key").agg(*of_key).where("parts > 1").select("key", "largest", F.col("p.least").alias("pivot"), F.col("p.component").alias("pivot_component"))
+        members = materialize(placed.join(several, "key"), "members")
+        if not going or members.isEmpty():
+            break
+        rest = members.where("component <> pivot_component").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+        rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = verified(rest)
+        going = JOINS_OF_PIVOT * found.count() >= rest.count() > 0
+        labels, tried = merged(labels, found), tried.unionByName(rest)
+    # of two members in different components one at least is outside the bucket's largest component
+    open_ids = members.groupBy("id", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
     open_ids = materialize(open_ids, "open")
     if not open_ids.isEmpty():
         pairs = materialize(_prefix_pairs(open_ids.join(data, "id"), shingles, percent), "pairs")
