@@ -532,7 +532,7 @@ WORDED = "list_extract([" + ", ".join(f"'{w}'" for w in WORDINGS) + f"], 1 + (ev
 VOCABULARY = "vocab AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in predicates.PREDICATES) + "]) AS p), syn AS (SELECT unnest([" + ", ".join(f"{{'w': '{w}', 'p': '{p}'}}" for p, many in predicates.SYNONYMS.items() for w in many) + "]) AS s)"
 
 
-@query(f"""WITH {VOCABULARY}, spaced AS (SELECT replace(p, '_', ' ') AS w, p FROM vocab), alone AS (SELECT w, p FROM (SELECT unnest(string_split(p, '_')) AS w, p FROM vocab) WHERE w NOT IN ('rates', 'positive', 'negative')),
+@query(rf"""WITH {VOCABULARY}, spaced AS (SELECT replace(p, '_', ' ') AS w, p FROM vocab), alone AS (SELECT w, p FROM (SELECT unnest(string_split(p, '_')) AS w, p FROM vocab) WHERE w NOT IN ('rates', 'positive', 'negative')),
 raw AS (SELECT DISTINCT {WORDED} AS raw FROM events), t AS (SELECT raw, trim(regexp_replace(lower(raw), '[\s_\-]+', ' ', 'g')) AS t FROM raw), forms AS (SELECT raw, t, CASE WHEN t LIKE '%s' THEN t[:-2] END AS one FROM t),
 words AS (SELECT raw, unnest(string_split(t, ' ')) AS w, generate_subscripts(string_split(t, ' '), 1) AS nth FROM t),
 worded AS (SELECT raw, arg_min(coalesce(a.p, b.p), nth) AS p FROM words LEFT JOIN alone a ON a.w = words.w LEFT JOIN alone b ON words.w LIKE '%s' AND b.w = words.w[:-2] WHERE coalesce(a.p, b.p) IS NOT NULL GROUP BY 1),
