@@ -156,19 +156,21 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
     rest_of = lambda n: -(-percent * n // 100) - 1
 
     def propose(table: pa.Table) -> pa.Table:
-        """The pairs of a range of shingles, each once, with how many shingles of the range both prefixes hold.
+        """The pairs of a range of shingles, each once, with how many shingles of the range both prefixes and each of them hold.
 
-        Pairs that could not share enough if all else in their prefixes were common are left out.
+        Left out are pairs that could not share enough if all else in their prefixes were common, and those that could not
+        if their first common shingle here were the first of all: the range that holds that one proposes them.
         """
         ids, at, who = np.unique(table["id"].to_numpy(), return_index=True, return_inverse=True)
         component, place, size, stray, weight = (table[c].to_numpy() for c in ("component", "place", "n", "stray", "weight"))
-        n_of, outside = size[at], table["kept"].to_numpy()[at] - np.bincount(who, weight, len(ids)).astype(np.int64)
+        n_of, kept, inside = size[at], table["kept"].to_numpy()[at], np.bincount(who, weight, len(ids)).astype(np.int64)
         order, heads = _distinct(table["shingle"].to_numpy().view(np.uint64))
-        many, found, held = np.diff(np.r_[heads, len(order)]), [(np.zeros(0, np.int64),) * 2], 0
+        many, found, held = np.diff(np.r_[heads, len(order)]), [(np.zeros(0, np.int64),) * 3], 0
 
-        def sums(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            codes, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-            return codes, np.bincount(place, np.concatenate([w for _, w in parts]), len(codes)).astype(np.int64)
+        def sums(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+            codes, *counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            codes, place = np.unique(codes, return_inverse=True)
+            return codes, *(np.bincount(place, x, len(codes)).astype(np.int64) for x in counts)
 
         for m in np.unique(many[many > 1]).tolist():
             i, j = np.triu_indices(m, 1)
@@ -179,29 +181,39 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
                 x, y = rows[:, i].ravel(), rows[:, j].ravel()
                 near = (component[x] != component[y]) & (stray[x] | stray[y])
                 near &= (100 + percent) * np.minimum(size[x], size[y]) >= percent * (size[x] + size[y])
-                x, y, w = who[x[near]], who[y[near]], weight[x[near]]
-                found.append(sums([(np.minimum(x, y) * len(ids) + np.maximum(x, y), w)]))
+                x, y = x[near], y[near]
+                reach = (100 + percent) * np.minimum(size[x] - place[x], size[y] - place[y]) >= percent * (size[x] + size[y])
+                w, x, y = weight[x], who[x], who[y]
+                found.append(sums([(np.minimum(x, y) * len(ids) + np.maximum(x, y), w, reach)]))
                 held += len(found[-1][0])
                 if held > RANGE_KEYS:
                     found, held = [sums(found)], 0
-        codes, both = sums(found)
+        codes, both, reach = sums(found)
         x, y = codes // len(ids), codes % len(ids)
         need = -(-percent * (n_of[x] + n_of[y]) // (100 + percent)) - np.maximum(rest_of(n_of[x]), rest_of(n_of[y]))
-        fine = both + np.minimum(outside[x], outside[y]) >= need
-        return pa.table({"a": ids[x[fine]], "b": ids[y[fine]], "both": both[fine], "need": need[fine]})
+        fine = (reach > 0) & (both + np.minimum(kept[x] - inside[x], kept[y] - inside[y]) >= need)
+        x, y = x[fine], y[fine]
+        return pa.table([pa.array(c) for c in (ids[x], ids[y], both[fine], need[fine], inside[x], inside[y], kept[x], kept[y])], names=names)
 
-    proposed = first.where(F.col("m") <= HELD_BY).groupBy("range").applyInArrow(propose, "a bigint, b bigint, both bigint, need bigint")
+    names = ["a", "b", "both", "need", "inside_a", "inside_b", "kept_a", "kept_b"]
+    proposed = first.where(F.col("m") <= HELD_BY).groupBy("range").applyInArrow(propose, ", ".join(f"{c} bigint" for c in names))
     # shingles of more sets are left to a join, which Spark splits where one makes too many rows
     often = first.where(F.col("m") > HELD_BY)
-    x = often.where("stray").select("shingle", "weight", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n")])
-    y = often.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "stray", "n")])
+    x = often.where("stray").select("shingle", "weight", *[F.col(c).alias(f"{c}_x") for c in ("id", "component", "n", "kept")])
+    y = often.select("shingle", *[F.col(c).alias(f"{c}_y") for c in ("id", "component", "stray", "n", "kept")])
     # two strays meet once
     once = ~F.col("stray_y") | (F.col("id_x") < F.col("id_y"))
     length = (100 + percent) * F.least("n_x", "n_y") >= percent * (F.col("n_x") + F.col("n_y"))
     met = x.join(y, "shingle").where((F.col("component_x") != F.col("component_y")) & once & length)
     need = F.expr(f"({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent} - (({percent} * greatest(n_x, n_y) + 99) div 100 - 1)")
-    met = met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b"), F.col("weight").alias("both"), need.alias("need"))
-    return proposed.unionByName(met).groupBy("a", "b").agg(F.sum("both").alias("both"), F.max("need").alias("need")).where("both >= need").select("a", "b")
+    ends = F.col("id_x") < F.col("id_y")
+    kept = [F.when(ends, F.col(c)).otherwise(F.col(d)) for c, d in (("kept_x", "kept_y"), ("kept_y", "kept_x"))]
+    weight = F.col("weight")
+    met = met.select(*[c.alias(n) for c, n in zip([F.least("id_x", "id_y"), F.greatest("id_x", "id_y"), weight, need, weight, weight, *kept], names, strict=True)])
+    # ranges that did not propose a pair may hold all else of its prefixes in common
+    sums = [F.sum(c).alias(c) for c in ("both", "inside_a", "inside_b")] + [F.max(c).alias(c) for c in ("need", "kept_a", "kept_b")]
+    pairs = proposed.unionByName(met).groupBy("a", "b").agg(*sums)
+    return pairs.where("both + least(kept_a - inside_a, kept_b - inside_b) >= need").select("a", "b")
 
 
 def _band_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
