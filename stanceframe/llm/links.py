@@ -77,8 +77,26 @@ def _cuts(values: np.ndarray, ranges: int) -> np.ndarray:
     return np.searchsorted((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
 
 
-def _blob(column: pa.ChunkedArray, kind: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, kind) for x in column.to_pylist()]
+def _planes(x: np.ndarray) -> bytes:
+    """The first bytes of all words, then the second ones, and so on: what they have in common, shuffles then compress."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _words(raw: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Ascending words by their differences."""
+    return _planes(np.diff(x, prepend=x.dtype.type(0)))
+
+
+def _climbed(raw: bytes, kind: str) -> np.ndarray:
+    return np.cumsum(_words(raw, kind), dtype=kind)
+
+
+def _blob(column: pa.ChunkedArray, kind: str, read: Callable[[bytes, str], np.ndarray] = _words) -> list[np.ndarray]:
+    return [read(x, kind) for x in column.to_pylist()]
 
 
 def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
@@ -109,13 +127,13 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
         for k in np.flatnonzero(np.diff(cuts)).tolist():
             part = slice(cuts[k], cuts[k + 1])
             wide = np.flatnonzero(lo[part] < hi[part]).astype("<u4")
-            rows.append((k, table["block"][0].as_py(), values[part].tobytes(), held[part].astype("<u4").tobytes(), lo[part].tobytes(), wide.tobytes()))
+            rows.append((k, table["block"][0].as_py(), _steps(values[part]), _planes(held[part].astype("<u4")), _planes(lo[part]), _steps(wide)))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["range", "block", "shingles", "held", "component", "wide"])
 
     def add(table: pa.Table) -> pa.Table:
-        values, held, lo = _blob(table["shingles"], "<u8"), _blob(table["held"], "<u4"), _blob(table["component"], "<i8")
+        values, held, lo = _blob(table["shingles"], "<u8", _climbed), _blob(table["held"], "<u4"), _blob(table["component"], "<i8")
         spread = [np.zeros(len(v), bool) for v in values]
-        for s, wide in zip(spread, _blob(table["wide"], "<u4"), strict=True):
+        for s, wide in zip(spread, _blob(table["wide"], "<u4", _climbed), strict=True):
             s[wide] = True
         flat, component = np.concatenate(values), np.concatenate(lo)
         order, heads = _distinct(flat)
@@ -124,7 +142,7 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
         back = np.empty(len(flat), "<i8")
         back[order] = np.repeat(holders, np.diff(np.r_[heads, len(flat)]))
         parts = np.split(back, np.cumsum([len(v) for v in values])[:-1])
-        return pa.table({"block": table["block"], "range": table["range"], "holders": pa.array([x.tobytes() for x in parts], pa.binary())})
+        return pa.table({"block": table["block"], "range": table["range"], "holders": pa.array([_planes(x) for x in parts], pa.binary())})
 
     def prefixes(table: pa.Table, counted: pa.Table) -> pa.Table:
         flat, sizes = shingles_of(table)
@@ -249,7 +267,7 @@ def shared_buckets(bands: DataFrame, n_keys: int) -> DataFrame:
                 part = slice(cuts[k], cuts[k + 1])
                 many = np.flatnonzero(n[part] > 1).astype("<u4")
                 pivots = (ids[part] - base).astype("<u4") if narrow else ids[part]
-                rows.append((k, base if narrow else None, keys[part].tobytes(), pivots.tobytes(), many.tobytes(), n[part][many].tobytes(), of[part][many].tobytes()))
+                rows.append((k, base if narrow else None, _steps(keys[part]), _planes(pivots), _steps(many), _planes(n[part][many]), _planes(of[part][many])))
             return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
@@ -266,10 +284,10 @@ def shared_buckets(bands: DataFrame, n_keys: int) -> DataFrame:
     def combine(table: pa.Table) -> pa.Table:
         parts = []
         for _, base, *raw in zip(*(c.to_pylist() for c in table.columns), strict=True):
-            keys = np.frombuffer(raw[0], np.uint64)
-            ids = np.frombuffer(raw[1], np.int64) if base is None else np.frombuffer(raw[1], "<u4").astype(np.int64) + base
-            n, of, many = np.ones(len(keys), np.int64), mix64(ids), np.frombuffer(raw[2], "<u4")
-            n[many], of[many] = np.frombuffer(raw[3], np.int64), np.frombuffer(raw[4], np.uint64)
+            keys = _climbed(raw[0], "<u8")
+            ids = _words(raw[1], "<i8") if base is None else _words(raw[1], "<u4").astype(np.int64) + base
+            n, of, many = np.ones(len(keys), np.int64), mix64(ids), _climbed(raw[2], "<u4")
+            n[many], of[many] = _words(raw[3], "<i8"), _words(raw[4], "<u8")
             parts.append((keys, ids, n, of))
         keys, ids, n, of = packed(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         at = np.flatnonzero(n > 1)
