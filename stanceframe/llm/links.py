@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
@@ -338,9 +339,20 @@ def link_components(
     stars = materialize(members.select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "stars")
     data = materialize(payload(stars.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "payload")
 
+    def payload_of(ids: DataFrame, n: int) -> DataFrame:
+        """Payloads that may be those of ``ids``: the others stay out of the shuffle."""
+        passes = MembershipFilter(ids, n)
+
+        @F.pandas_udf("boolean")
+        def maybe(column: pd.Series) -> pd.Series:
+            return pd.Series(passes(column.to_numpy()))
+
+        return data.where(maybe("id"))
+
     def verified(pairs: DataFrame) -> DataFrame:
-        x = data.select(F.col("id").alias("a"), F.col("payload").alias("x"))
-        y = data.select(F.col("id").alias("b"), F.col("payload").alias("y"))
+        n = pairs.count()
+        x = payload_of(pairs.select("a"), n).select(F.col("id").alias("a"), F.col("payload").alias("x"))
+        y = payload_of(pairs.select("b"), n).select(F.col("id").alias("b"), F.col("payload").alias("y"))
         # the pivot comes last: the rows of one that many meet then have the size by which Spark splits a skewed join
         return materialize(agree(pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")).select("a", "b"), "links")
 
