@@ -19,6 +19,8 @@ SLICE_BYTES = 2 << 20
 FILTER_BITS = (14, 28)
 #: Bits of the piece of it that a task sends as one row.
 _SEGMENT_BITS = 1 << 19
+#: Bits that a key sets in it.
+_PROBES = 5
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,10 +84,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _stride(h: np.ndarray) -> np.ndarray:
+    return mix64(h ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _place(h: np.ndarray, g: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return (h + np.uint64(i) * g) >> np.uint64(64 - bits)
+
+
 def _places(keys: np.ndarray, bits: int) -> np.ndarray:
     h = mix64(keys.view(np.uint64))
-    g = mix64(h ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    return np.concatenate([(h + np.uint64(i) * g) >> np.uint64(64 - bits) for i in range(5)])
+    g = _stride(h)
+    return np.concatenate([_place(h, g, i, bits) for i in range(_PROBES)])
 
 
 class MembershipFilter:
@@ -124,9 +134,14 @@ class MembershipFilter:
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         if not len(keys):
             return np.zeros(0, bool)
-        at = _places(np.ascontiguousarray(keys, np.int64), self.bits)
-        hit = (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-        return hit.reshape(5, -1).all(axis=0)
+        h = mix64(np.ascontiguousarray(keys, np.int64).view(np.uint64))
+        g, left = _stride(h), np.arange(len(h))
+        for i in range(_PROBES):  # most strangers need one look
+            at = _place(h[left], g[left], i, self.bits)
+            left = left[((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)]
+        hit = np.zeros(len(h), bool)
+        hit[left] = True
+        return hit
 
 
 def without_rows(docs: DataFrame, decisions: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
