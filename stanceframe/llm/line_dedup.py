@@ -132,6 +132,16 @@ def similar(pairs: list[tuple[str, str]], width: int = WIDTH, percent: int = PER
     return out
 
 
+def _passing(rows: DataFrame, passes: MembershipFilter, wanted: bool = True) -> DataFrame:
+    """The rows whose first column, a bigint without nulls, passes the filter, or the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(passes(batch.column(0).to_numpy()) == wanted))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per line that is not blank: doc_id, row (of the input, for repeated identifiers), line, component, kept.
 
@@ -144,7 +154,9 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
 
     def equal(ids: DataFrame) -> DataFrame:
         """Equal lines have the same bands; of the copies that tasks proposed only the first goes on."""
-        digests.append(materialize(lines.select("id", "head", "tail").join(ids, "id", "left_semi"), "digests"))
+        ids = materialize(ids, "shared")
+        asked = _passing(lines.select("id", "head", "tail"), MembershipFilter(ids, ids.count()))
+        digests.append(materialize(asked.join(ids, "id", "left_semi"), "digests"))
         copies = digests[0].select("id", F.min("id").over(Window.partitionBy("head", "tail")).alias("rep")).where("id <> rep")
         return materialize(copies, "copies")
 
@@ -185,14 +197,20 @@ def line_groups(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT,
 
     proposed = lines.where("octet_length(bands) > 0").select("id", "bands")
     labels = link_components(proposed, texts, agree, shingles, percent, n_keys=BANDS * lines.count(), equal=equal).withColumnRenamed("id", "first")
-    placed = lines.select("doc_id", "row", "line", "first").join(labels, "first", "left").select("doc_id", "row", "line", F.coalesce("component", "first").alias("component"))
+    # lines that share their place with no other need no join: the filter lets few of them through, and no other stays behind
+    labels = materialize(labels, "labels")
+    several = labels.select(F.explode(F.array("first", "component")).alias("first")).unionByName(lines.where("id <> first").select("first"))
+    passes = MembershipFilter(several, several.count())
+    rows = lines.select("first", "doc_id", "row", "line")
+    placed = _passing(rows, passes).join(labels, "first", "left").select("doc_id", "row", "line", F.coalesce("component", "first").alias("component"))
     placed = materialize(placed, "placed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")
-    # a line that is alone needs no join
     best = placed.groupBy("component").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").select("component", "best.row", "best.line")
     best = materialize(best.withColumnsRenamed({"row": "best_row", "line": "best_line"}), "best")
     kept = F.col("best_row").isNull() | ((F.col("row") == F.col("best_row")) & (F.col("line") == F.col("best_line")))
-    return placed.join(best, "component", "left").select("doc_id", "row", "line", "component", kept.alias("kept"))
+    found = placed.join(best, "component", "left").select("doc_id", "row", "line", "component", kept.alias("kept"))
+    alone = _passing(rows, passes, False).select("doc_id", "row", "line", F.col("first").alias("component"), F.lit(True).alias("kept"))
+    return alone.unionByName(found)
 
 
 def dedup_lines(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -21,6 +21,10 @@ JOINS_OF_PIVOT = 10
 HELD_BY = 2048
 #: Band keys or shingles that a task sorts at once, and about as many in a range of them.
 RANGE_KEYS = 1 << 20
+#: Members of a bucket, at most, for a task to hold the sketches of all its pairs against each other.
+PAIRED = 1024
+#: Bits of a sketch; a longer one rules out more pairs, a shorter one is no less exact.
+SKETCH_BITS = 512
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -151,7 +155,7 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
         holders = np.empty(len(flat), np.int64)
         holders[order] = np.repeat(np.concatenate(_blob(counted.sort_by("range")["holders"], "<i8")), np.diff(np.r_[heads, len(flat)]))
         each = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((flat, holders, each))
+        order = np.lexsort((flat.view(np.int64), holders, each))  # signed, as Spark orders them below
         place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         first = (place < sizes[each] - -(-percent * sizes[each] // 100) + 1) & (holders[order] > 0)
         kept = np.bincount(each[first], minlength=len(sizes))
@@ -235,6 +239,58 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
     return pairs.where("both + least(kept_a - inside_a, kept_b - inside_b) >= need").select("a", "b")
 
 
+def _sketches(column: pa.Array, shingles: Callable[[pa.Array], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The sizes of the sets of a column, and for each set the parities of how many of its shingles fall on each of ``SKETCH_BITS`` places."""
+    found = shingles(column)
+    sizes = np.array([len(s) for s in found], np.int64)
+    place = np.repeat(np.arange(len(found)) * SKETCH_BITS, sizes) + (np.concatenate(found).view(np.uint64) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    odd = np.bincount(place, minlength=len(found) * SKETCH_BITS).astype(np.uint8) & 1
+    return sizes, np.packbits(odd).reshape(len(found), -1)
+
+
+def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+    """Pairs (a, b) across components within each bucket of ``members`` (key, id, component) whose sketches leave a link possible.
+
+    Only shingles that one set of two has make their sketches differ, each at one place: where these differ at more places
+    than sets of that similarity have shingles apart, the pair is no link. So no link is lost, and no text is moved.
+    """
+    ranges = max(1, members.count() >> 13)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "payload", PART):
+            sizes, bits = _sketches(batch.column(1), shingles)
+            yield pa.record_batch({"id": batch.column(0), "n": pa.array(sizes), "sketch": pa.array([x.tobytes() for x in bits], pa.binary())})
+
+    def propose(table: pa.Table) -> pa.Table:
+        table = table.sort_by("key")
+        key, ids, component, n = (table[c].to_numpy() for c in ("key", "id", "component", "n"))
+        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(len(ids), -1)
+        heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        many, found = np.diff(np.r_[heads, len(key)]), [np.zeros((0, 2), np.int64)]
+        for m in np.unique(many[many > 1]).tolist():
+            i, j = np.triu_indices(m, 1)
+            begins = heads[many == m]
+            step = max(1, (RANGE_KEYS >> 4) // len(i))
+            for lo in range(0, len(begins), step):
+                rows = begins[lo : lo + step, None] + np.arange(m)
+                x, y = rows[:, i].ravel(), rows[:, j].ravel()
+                near = component[x] != component[y]
+                near[near] = (100 + percent) * np.abs(n[x[near]] - n[y[near]]) <= (100 - percent) * (n[x[near]] + n[y[near]])
+                x, y = x[near], y[near]
+                for part in range(0, len(x), RANGE_KEYS >> 4):
+                    u, v = x[part : part + (RANGE_KEYS >> 4)], y[part : part + (RANGE_KEYS >> 4)]
+                    apart = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
+                    fine = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+                    a, b = ids[u[fine]], ids[v[fine]]
+                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    sketched = data.mapInArrow(sketch, "id bigint, n bigint, sketch binary")
+    met = members.select("key", "id", "component").join(sketched, "id").withColumn("range", F.expr(f"cast(pmod(xxhash64(key), {ranges}) as int)"))
+    return met.groupBy("range").applyInArrow(propose, "a bigint, b bigint").distinct()
+
+
 def _band_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The keys of a column of packed bands in one array, and their number in each row."""
     sizes = np.asarray(pa.compute.binary_length(column)) // 8
@@ -309,7 +365,8 @@ def link_components(
     that ``agree`` confirms, without looking at all of them: first every member meets the bucket's smallest one, after
     which all pairs of that one are settled; where the others still lie in several components they meet the smallest of
     these, and so on while one pair in ``JOINS_OF_PIVOT`` is a link; for what is then left in several components, pairs
-    across them are proposed by their rarest shingles (`_prefix_pairs`), which loses none.
+    across them are proposed by their rarest shingles (`_prefix_pairs`), which loses none. Buckets of ``PAIRED`` members at
+    most need none of this after the first pivot: all their pairs across components meet by sketches (`_sketched_pairs`).
 
     ``payload(ids)`` gives (id, payload); ``agree`` filters (a, b, x, y), x and y the payloads of a and b, to the links,
     which must be the pairs whose ``shingles`` (distinct, as 64-bit words) have a Jaccard similarity of ``percent`` at least.
@@ -364,15 +421,25 @@ def link_components(
     rest = materialize(apart.join(first, ["a", "b"], "left_anti"), "pairs")
     if not rest.isEmpty():
         labels = merged(labels, verified(rest))
-    tried, going = first.unionByName(rest), True
+    tried, going, paired = first.unionByName(rest), True, False
     while True:
         # all pairs of the pivots are settled; where the others lie in several components they get another pivot, as long
         # as that joins many of them: the first one may be unlike the rest of a large group
         placed = members.where("id <> pivot").select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
-        of_key = [F.max_by("component", F.struct("n", "component")).alias("largest"), F.min(F.struct("least", "component")).alias("p"), F.count(F.lit(1)).alias("parts")]
-        several = parts.groupBy("key").agg(*of_key).where("parts > 1").select("key", "largest", F.col("p.least").alias("pivot"), F.col("p.component").alias("pivot_component"))
+        parts = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.bit_xor(F.xxhash64("id")).alias("of"))
+        of_key = [F.max_by("component", F.struct("n", "component")).alias("largest"), F.min(F.struct("least", "component")).alias("p"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.bit_xor("of").alias("of")]
+        several = parts.groupBy("key").agg(*of_key).where("parts > 1")
+        # buckets that are left with the very same members: one of them is enough
+        several = several.groupBy("size", "of", "p", "largest").agg(F.min("key").alias("key")).select("key", "largest", F.col("p.least").alias("pivot"), F.col("p.component").alias("pivot_component"), "size")
         members = materialize(placed.join(several, "key"), "members")
+        if not paired:
+            few, members, paired = members.where(F.col("size") <= PAIRED), members.where(F.col("size") > PAIRED), True
+            ids = materialize(few.select("id").distinct(), "open")
+            n = ids.count()
+            if n:
+                pairs = materialize(_sketched_pairs(few, payload_of(ids, n), shingles, percent), "pairs")
+                if not pairs.isEmpty():
+                    labels = merged(labels, verified(pairs))
         if not going or members.isEmpty():
             break
         rest = members.where("component <> pivot_component").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()

@@ -66,3 +66,19 @@ def test_similar_pairs_are_those_of_sets():
     want = [100 * len(sets(a) & sets(b)) >= 80 * len(sets(a) | sets(b)) for a, b in pairs]
     got = line_dedup.similar([(line_dedup.normal(a), line_dedup.normal(b)) for a, b in pairs])
     assert got == want and line_dedup.similar([]) == []
+
+
+def test_lines_alone_are_not_joined(spark, monkeypatch):
+    """Only lines that share their place with others are shuffled; equal lines of different tasks are among these."""
+    counts, old = {}, line_dedup.materialize
+
+    def counted(df, label, **options):
+        out = old(df, label, **options)
+        counts[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    docs = [(i, f"{i * i * 7919} is a line of its own {i}{i}{i}\n{'one line that each of the documents has' if i % 2 else ''}") for i in range(200)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_lines, r.dropped) for r in got} == {i: (1 + i % 2, [1] if i % 2 and i > 1 else []) for i in range(200)}
+    assert counts["lines"] == 300 and 100 <= counts["placed"] < 200

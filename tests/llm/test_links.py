@@ -106,6 +106,53 @@ def test_proposed_pairs_lose_no_link(spark, monkeypatch, held_by):
     assert want <= set(got)
 
 
+def test_proposed_pairs_in_the_order_of_words(spark):
+    """The first common shingle bounds what two sets can share: both ends must order words beyond 2^63 alike."""
+    rng = np.random.default_rng(3)
+    common = np.r_[rng.integers(0, 1 << 62, 2, dtype=np.uint64), rng.integers(1 << 63, 1 << 64, 34, dtype=np.uint64)]
+    rows = [(i, i, True, np.r_[common, rng.integers(0, 1 << 64, 4, dtype=np.uint64)].view(np.int64).tolist()) for i in range(2)]
+    frame = spark.createDataFrame(rows, "id bigint, component bigint, stray boolean, payload array<bigint>")
+    split = lambda c: [np.array(x, np.int64).view(np.uint64) for x in c.to_pylist()]
+    assert [(r.a, r.b) for r in links._prefix_pairs(frame, split, 80).collect()] == [(0, 1)]
+
+
+@pytest.mark.parametrize("bits", [64, 512])
+def test_sketched_pairs_lose_no_link(spark, monkeypatch, bits):
+    """Families of sets in two buckets, repeated: every pair that is similar enough stays, once, and most strangers go."""
+    monkeypatch.setattr(links, "SKETCH_BITS", bits)
+    rng = np.random.default_rng(9)
+    sets = {}
+    for _ in range(6):
+        base = rng.integers(0, 1 << 64, 40, dtype=np.uint64)
+        for _ in range(12):
+            sets[len(sets)] = np.unique(np.r_[rng.permutation(base)[: rng.integers(33, 41)], rng.integers(0, 1 << 64, rng.integers(0, 4), dtype=np.uint64)])
+    payload = spark.createDataFrame([(i, s.view(np.int64).tolist()) for i, s in sets.items()], "id bigint, payload array<bigint>")
+    members = [(k, i, i // 2) for i in sets for k in (i < 36, 2 + (i < 36), 9)]
+    split = lambda c: [np.array(x, np.int64).view(np.uint64) for x in c.to_pylist()]
+    got = [(r.a, r.b) for r in links._sketched_pairs(spark.createDataFrame([(int(k), i, c) for k, i, c in members], "key bigint, id bigint, component bigint"), payload, split, 80).collect()]
+    want = {(a, b) for a in sets for b in sets if a < b and a // 2 != b // 2 and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(got) == len(set(got)) and len(want) > 20 and want <= set(got)
+    assert len(got) < (800 if bits == 64 else 400)
+
+
+@pytest.mark.parametrize("paired", [1, 1024])
+def test_small_buckets_need_no_prefixes(spark, monkeypatch, paired):
+    """Only neighbours agree: buckets of few members meet by sketches, larger ones as before, with the same components."""
+    monkeypatch.setattr(links, "PAIRED", paired)
+    called, old = [], links._prefix_pairs
+    monkeypatch.setattr(links, "_prefix_pairs", lambda *a: called.append(1) or old(*a))
+    hashes = np.sort(np.random.default_rng(1).integers(0, 1 << 63, 80, dtype=np.uint64))
+    sets = {i: (hashes[i : i + 10] if i != 30 else hashes[60:80]) for i in range(50)}
+    bands = spark.createDataFrame([(i, packed([1, 100 + i])) for i in sets], "id bigint, bands binary")
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "id bigint, payload array<bigint>")
+    both = F.size(F.array_intersect("x", "y"))
+    agree = lambda pairs: pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = {r.id: r.component for r in links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80, n_keys=100).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: 0 if i < 30 else 30 if i == 30 else 31 for i in sets}
+    assert bool(called) == (paired == 1)
+
+
 def word_sets(rows, width):
     out = {}
     for i, text, *_ in rows:
