@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,7 @@ FILTER_BITS = (14, 28)
 _SEGMENT_BITS = 1 << 19
 #: Bits that a key sets in it.
 _PROBES = 5
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -68,6 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             start = stop
 
 
+def release() -> None:
+    """Give memory that is free back to the system: a worker that waits for its next task would hold it beside the others."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return pa.compute.fill_null(batch.column(batch.schema.get_field_index(name)), "").to_pylist()

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, materialize, mix64, slices
+from .common import MembershipFilter, materialize, mix64, release, slices
 
 #: Characters or shingles of payloads that are handled at once; a shingle takes eight bytes in several arrays.
 PART = 1 << 18
@@ -248,18 +248,22 @@ def _sketches(column: pa.Array, shingles: Callable[[pa.Array], list[np.ndarray]]
     return sizes, np.packbits(odd).reshape(len(found), -1)
 
 
-def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int) -> DataFrame:
+def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int, passes: MembershipFilter | None = None) -> DataFrame:
     """Pairs (a, b) across components within each bucket of ``members`` (key, id, component) whose sketches leave a link possible.
 
     Only shingles that one set of two has make their sketches differ, each at one place: where these differ at more places
     than sets of that similarity have shingles apart, the pair is no link. So no link is lost, and no text is moved.
+    ``passes`` lets the members' rows of ``data`` through; it is asked where the sketches are made, as each Python step of
+    a task is a process of its own, which then stays beside the others.
     """
     ranges = max(1, members.count() >> 13)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "payload", PART):
+        wanted = batches if passes is None else (batch.filter(pa.array(passes(batch.column(0).to_numpy()))) for batch in batches)
+        for batch in slices(wanted, "payload", PART):
             sizes, bits = _sketches(batch.column(1), shingles)
             yield pa.record_batch({"id": batch.column(0), "n": pa.array(sizes), "sketch": pa.array([x.tobytes() for x in bits], pa.binary())})
+        release()
 
     def propose(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
@@ -286,7 +290,7 @@ def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    sketched = data.mapInArrow(sketch, "id bigint, n bigint, sketch binary")
+    sketched = data.select("id", "payload").mapInArrow(sketch, "id bigint, n bigint, sketch binary")
     met = members.select("key", "id", "component").join(sketched, "id").withColumn("range", F.expr(f"cast(pmod(xxhash64(key), {ranges}) as int)"))
     return met.groupBy("range").applyInArrow(propose, "a bigint, b bigint").distinct()
 
@@ -337,6 +341,8 @@ def shared_buckets(bands: DataFrame, n_keys: int) -> DataFrame:
                 held.clear()
         if sum(len(k) for k, _ in held):
             yield entries()
+        held.clear()
+        release()
 
     def combine(table: pa.Table) -> pa.Table:
         parts = []
@@ -437,7 +443,7 @@ def link_components(
             ids = materialize(few.select("id").distinct(), "open")
             n = ids.count()
             if n:
-                pairs = materialize(_sketched_pairs(few, payload_of(ids, n), shingles, percent), "pairs")
+                pairs = materialize(_sketched_pairs(few, data, shingles, percent, MembershipFilter(ids, n)), "pairs")
                 if not pairs.isEmpty():
                     labels = merged(labels, verified(pairs))
         if not going or members.isEmpty():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import MembershipFilter, materialize, slices, text_column
+from .common import MembershipFilter, materialize, release, slices, text_column
 from .links import link_components, merged
 from .shingles import MinWise, word_shingles
 
@@ -36,6 +36,7 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
                 packed[i] = row_keys.tobytes()
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.record_batch({"doc_id": batch.column(0), "n_shingles": sizes, "digest": pa.array(digests, pa.binary()), "bands": pa.array(packed, pa.binary())})
+        release()
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands binary")
 
@@ -72,6 +73,7 @@ def near_groups(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: s
                     offsets = pa.array(np.r_[0, np.cumsum([len(s) for s in found])], pa.int32())
                     values = pa.array(np.concatenate(found).view(np.int64))
                     yield pa.record_batch({"id": part.column(0), "payload": pa.ListArray.from_arrays(offsets, values)})
+            release()
 
         return docs.mapInArrow(run, "id bigint, payload array<bigint>").join(ids, "id", "left_semi")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import release, slices, text_column
 from .tokens import ChunkEncoder
 
 #: Limits of one sequence: tokens, segments, loss-bearing tokens.
@@ -199,10 +199,12 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, cut: str = "word", end_id
         encoder, packer, end = ChunkEncoder.of(tokenizer, cut), Packer(limits, cut=True), np.array([end_id], "<u4").tobytes()
 
         def sequences() -> Iterator[list[Piece]]:
-            for batch in slices(batches):
-                for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(text_column(batch)), strict=True):
-                    n = len(ids) // 4 + 1
-                    yield from packer.add(Piece((doc_id, n), 0, n, n, ids + end))
+            for whole in batches:
+                for batch in slices(iter([whole])):
+                    for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.encode(text_column(batch)), strict=True):
+                        n = len(ids) // 4 + 1
+                        yield from packer.add(Piece((doc_id, n), 0, n, n, ids + end))
+                release()
             yield from packer.finish()
 
         yield from _emit(sequences(), with_ids=True)

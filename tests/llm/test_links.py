@@ -161,6 +161,22 @@ def word_sets(rows, width):
     return out
 
 
+def test_sketches_take_one_python_process_a_task(spark, monkeypatch):
+    """A filter in a Python step of its own would double the workers that each executor holds from then on."""
+    plans, made = [], links._sketched_pairs
+    monkeypatch.setattr(links, "_sketched_pairs", lambda *args, **more: plans.append(made(*args, **more)) or plans[-1])
+    sets = {i: [*range(i, i + 10)] for i in range(20)}
+    bands = spark.createDataFrame([(i, packed([1])) for i in sets], "id bigint, bands binary")
+    table = spark.createDataFrame([*sets.items()], "id bigint, payload array<bigint>")
+    both = F.size(F.array_intersect("x", "y"))
+    agree = lambda pairs: pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80, n_keys=20).collect()
+    assert {r.id: r.component for r in got} == dict.fromkeys(sets, 0)
+    (plan,) = (p._jdf.queryExecution().sparkPlan().toString() for p in plans)
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
 @pytest.mark.parametrize("width", [1, 4, 5])
 def test_shingles(width):
     texts = [r[1] or "" for r in data.rows()]
