@@ -23,8 +23,9 @@ HELD_BY = 2048
 RANGE_KEYS = 1 << 20
 #: Members of a bucket, at most, for a task to hold the sketches of all its pairs against each other.
 PAIRED = 1024
-#: Bits of a sketch; a longer one rules out more pairs, a shorter one is no less exact.
+#: Bits of a sketch at least and, of large sets, at most; a longer one rules out more pairs, a shorter one is no less exact.
 SKETCH_BITS = 512
+SKETCH_MOST = 1 << 16
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,22 +240,56 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
     return pairs.where("both + least(kept_a - inside_a, kept_b - inside_b) >= need").select("a", "b")
 
 
-def _sketches(column: pa.Array, shingles: Callable[[pa.Array], list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The sizes of the sets of a column, and for each set the parities of how many of its shingles fall on each of ``SKETCH_BITS`` places."""
+def _sketches(column: pa.Array, shingles: Callable[[pa.Array], list[np.ndarray]]) -> tuple[np.ndarray, list[bytes]]:
+    """The sizes of the sets of a column, and for each set the parities of how many of its shingles fall on each place of its sketch.
+
+    The places are a power of two: ``SKETCH_BITS`` at least, and twice the shingles up to ``SKETCH_MOST``.
+    """
     found = shingles(column)
     sizes = np.array([len(s) for s in found], np.int64)
-    place = np.repeat(np.arange(len(found)) * SKETCH_BITS, sizes) + (np.concatenate(found).view(np.uint64) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount(place, minlength=len(found) * SKETCH_BITS).astype(np.uint8) & 1
-    return sizes, np.packbits(odd).reshape(len(found), -1)
+    width = np.minimum(np.maximum(SKETCH_BITS, 2 ** np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64)), max(SKETCH_BITS, SKETCH_MOST))
+    ends = np.cumsum(width)
+    place = np.repeat(ends - width, sizes) + (np.concatenate(found).view(np.uint64) % np.repeat(width, sizes).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits(np.bincount(place, minlength=int(ends[-1])).astype(np.uint8) & 1).tobytes()
+    return sizes, [odd[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist(), strict=True)]
 
 
-def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int, passes: MembershipFilter | None = None) -> DataFrame:
+def _forest(u: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The places of a forest of the lightest edges that spans what the edges (u, v) between nodes 0, 1, ... join."""
+    left, chosen = np.argsort(weight, kind="stable"), [np.zeros(0, np.int64)]
+    root = np.arange(int(max(u.max(initial=-1), v.max(initial=-1))) + 1)
+    while True:
+        left = left[root[u[left]] != root[v[left]]]
+        if not len(left):
+            return np.concatenate(chosen)
+        a, b, last = root[u[left]], root[v[left]], len(left)
+        best = np.full((2, len(root)), last)
+        for row, x in zip(best, (a, b), strict=True):
+            row[x[::-1]] = np.arange(last)[::-1]
+        best = best.min(axis=0)
+        own = np.flatnonzero(best < last)
+        edge = best[own]
+        chosen.append(left[np.unique(edge)])
+        up = np.arange(len(root))
+        up[own] = a[edge] + b[edge] - own
+        both = own[up[up[own]] == own]
+        up[both] = np.minimum(both, up[both])
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
+def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.Array], list[np.ndarray]], percent: int, passes: MembershipFilter | None = None, forest: bool = False) -> DataFrame:
     """Pairs (a, b) across components within each bucket of ``members`` (key, id, component) whose sketches leave a link possible.
 
     Only shingles that one set of two has make their sketches differ, each at one place: where these differ at more places
     than sets of that similarity have shingles apart, the pair is no link. So no link is lost, and no text is moved.
     ``passes`` lets the members' rows of ``data`` through; it is asked where the sketches are made, as each Python step of
     a task is a process of its own, which then stays beside the others.
+
+    With ``forest``, rows (a, b, key): of the pairs of a range of buckets only the likeliest that join all components which
+    its pairs can join (key is null), and the members (a, of bucket key, b is null) that have further pairs. So the rows
+    grow with the members, not with their pairs; a second call settles what the first one's links leave open.
     """
     ranges = max(1, members.count() >> 13)
 
@@ -262,15 +297,30 @@ def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.
         wanted = batches if passes is None else (batch.filter(pa.array(passes(batch.column(0).to_numpy()))) for batch in batches)
         for batch in slices(wanted, "payload", PART):
             sizes, bits = _sketches(batch.column(1), shingles)
-            yield pa.record_batch({"id": batch.column(0), "n": pa.array(sizes), "sketch": pa.array([x.tobytes() for x in bits], pa.binary())})
+            yield pa.record_batch({"id": batch.column(0), "n": pa.array(sizes), "sketch": pa.array(bits, pa.binary())})
         release()
 
     def propose(table: pa.Table) -> pa.Table:
         table = table.sort_by("key")
         key, ids, component, n = (table[c].to_numpy() for c in ("key", "id", "component", "n"))
-        bits = np.frombuffer(b"".join(table["sketch"].to_pylist()), "<u8").reshape(len(ids), -1)
+        raw = table["sketch"].to_pylist()
+        width = np.array([len(x) for x in raw], np.int64)
+        folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def sketches(of: int) -> tuple[np.ndarray, np.ndarray]:
+            """Where each member stands in, and the sketches at ``of`` bytes: those of a wider one are the parities of its parts."""
+            if of not in folded:
+                at, parts, have = np.zeros(len(raw), np.int64), [], 0
+                for w in np.unique(width[width >= of]).tolist():
+                    rows = np.flatnonzero(width == w)
+                    at[rows], have = np.arange(have, have + len(rows)), have + len(rows)
+                    bits = np.frombuffer(b"".join(raw[i] for i in rows), "<u8").reshape(len(rows), w // of, -1)
+                    parts.append(np.bitwise_xor.reduce(bits, axis=1))
+                folded[of] = at, np.concatenate(parts)
+            return folded[of]
+
         heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        many, found = np.diff(np.r_[heads, len(key)]), [np.zeros((0, 2), np.int64)]
+        many, found = np.diff(np.r_[heads, len(key)]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for m in np.unique(many[many > 1]).tolist():
             i, j = np.triu_indices(m, 1)
             begins = heads[many == m]
@@ -281,18 +331,32 @@ def _sketched_pairs(members: DataFrame, data: DataFrame, shingles: Callable[[pa.
                 near = component[x] != component[y]
                 near[near] = (100 + percent) * np.abs(n[x[near]] - n[y[near]]) <= (100 - percent) * (n[x[near]] + n[y[near]])
                 x, y = x[near], y[near]
-                for part in range(0, len(x), RANGE_KEYS >> 4):
-                    u, v = x[part : part + (RANGE_KEYS >> 4)], y[part : part + (RANGE_KEYS >> 4)]
-                    apart = np.bitwise_count(bits[u] ^ bits[v]).sum(axis=1, dtype=np.int64)
-                    fine = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
-                    a, b = ids[u[fine]], ids[v[fine]]
-                    found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        pairs = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+                narrow = np.minimum(width[x], width[y])
+                for of in np.unique(narrow).tolist():
+                    at, bits = sketches(of)
+                    p, q = x[narrow == of], y[narrow == of]
+                    step_of = max(1, (RANGE_KEYS >> 4) * 64 // of)
+                    for part in range(0, len(p), step_of):
+                        u, v = p[part : part + step_of], q[part : part + step_of]
+                        apart = np.bitwise_count(bits[at[u]] ^ bits[at[v]]).sum(axis=1, dtype=np.int64)
+                        fine = (100 + percent) * apart <= (100 - percent) * (n[u] + n[v])
+                        found.append((u[fine], v[fine], apart[fine] / (n[u[fine]] + n[v[fine]])))
+        u, v, weight = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not forest:
+            pairs = np.unique(np.sort(np.stack([ids[u], ids[v]], axis=1), axis=1), axis=0)
+            return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        names, node = np.unique(component, return_inverse=True)
+        taken = _forest(node[u], node[v], weight)
+        more = np.ones(len(u), bool)
+        more[taken] = False
+        more = np.unique(np.concatenate([u[more], v[more]]))
+        a, b = np.minimum(ids[u[taken]], ids[v[taken]]), np.maximum(ids[u[taken]], ids[v[taken]])
+        nothing = [pa.nulls(k, pa.int64()) for k in (len(more), len(taken))]
+        return pa.table({"a": pa.array(np.r_[a, ids[more]]), "b": pa.chunked_array([pa.array(b), nothing[0]]), "key": pa.chunked_array([nothing[1], pa.array(key[more])])})
 
     sketched = data.select("id", "payload").mapInArrow(sketch, "id bigint, n bigint, sketch binary")
     met = members.select("key", "id", "component").join(sketched, "id").withColumn("range", F.expr(f"cast(pmod(xxhash64(key), {ranges}) as int)"))
-    return met.groupBy("range").applyInArrow(propose, "a bigint, b bigint").distinct()
+    return met.groupBy("range").applyInArrow(propose, "a bigint, b bigint, key bigint" if forest else "a bigint, b bigint").distinct()
 
 
 def _band_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -443,9 +507,21 @@ def link_components(
             ids = materialize(few.select("id").distinct(), "open")
             n = ids.count()
             if n:
-                pairs = materialize(_sketched_pairs(few, data, shingles, percent, MembershipFilter(ids, n)), "pairs")
+                # first the likeliest pairs that could join all, then those that still lie across components
+                likely = materialize(_sketched_pairs(few, data, shingles, percent, MembershipFilter(ids, n), forest=True), "likely")
+                pairs = materialize(likely.where("b is not null").select("a", "b").distinct(), "pairs")
                 if not pairs.isEmpty():
                     labels = merged(labels, verified(pairs))
+                still = likely.where("b is null").select("key", F.col("a").alias("id")).join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+                across = still.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+                still = materialize(still.join(across, "key"), "members")
+                ids = materialize(still.select("id").distinct(), "open")
+                n = ids.count()
+                if n:
+                    more = _sketched_pairs(still, data, shingles, percent, MembershipFilter(ids, n))
+                    pairs = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
+                    if not pairs.isEmpty():
+                        labels = merged(labels, verified(pairs))
         if not going or members.isEmpty():
             break
         rest = members.where("component <> pivot_component").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()

@@ -161,6 +161,52 @@ def word_sets(rows, width):
     return out
 
 
+def test_alike_members_of_a_small_bucket_meet_along_a_forest(spark):
+    """Sixty sets alike and a pivot unlike them: the pairs that are looked at grow with the members, not with their square."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = {i: np.unique(np.delete(base, i - 1)) for i in range(1, 61)} | {0: rng.integers(0, 1 << 63, 59, dtype=np.uint64)}
+    bands = spark.createDataFrame([(i, packed([1])) for i in sets], "id bigint, bands binary")
+    table = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "id bigint, payload array<bigint>")
+    looked, both = [], F.size(F.array_intersect("x", "y"))
+    agree = lambda pairs: looked.append(pairs.count()) or pairs.where(100 * both >= 80 * (F.size("x") + F.size("y") - both))
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = {r.id: r.component for r in links.link_components(bands, lambda ids: table.join(ids, "id"), agree, split, 80, n_keys=61).collect()}
+    assert {i: got.get(i, i) for i in sets} == {i: min(i, 1) for i in sets}
+    assert sum(looked) <= 3 * len(sets)
+
+
+def test_sketches_of_large_sets_tell_strangers_apart(spark):
+    """Sets of thousands of shingles, of which two in three are common, are no candidates; those that are alike stay."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
+    own = lambda k, n: np.r_[base[: 3000 - n], rng.integers(0, 1 << 63, n, dtype=np.uint64)]
+    sets = {0: base, 1: own(1, 100), **{k: own(k, 1000) for k in range(2, 8)}, 8: base[:2600], 9: base[:2040]}
+    payload = spark.createDataFrame([(i, [int(x) for x in s]) for i, s in sets.items()], "id bigint, payload array<bigint>")
+    members = spark.createDataFrame([(1, i, i) for i in sets], "key bigint, id bigint, component bigint")
+    split = lambda c: [np.array(x, np.uint64) for x in c.to_pylist()]
+    got = {(r.a, r.b) for r in links._sketched_pairs(members, payload, split, 80).collect()}
+    want = {(a, b) for a in sets for b in sets if a < b and 100 * len(np.intersect1d(sets[a], sets[b])) >= 80 * len(np.union1d(sets[a], sets[b]))}
+    assert len(want) > 2 and want <= got and len(got) <= len(want) + 3
+
+
+@pytest.mark.parametrize("n, m", [(1, 0), (40, 30), (40, 400)])
+def test_forest(n, m):
+    """As many edges as it takes, over the same components, and the lightest ones."""
+    rng = np.random.default_rng(n + m)
+    u, v, w = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(0, 5, m)
+    taken = links._forest(u, v, w)
+    want = roots(range(n), zip(u.tolist(), v.tolist(), strict=True))
+    assert roots(range(n), zip(u[taken].tolist(), v[taken].tolist(), strict=True)) == want
+    assert len(taken) == n - len(set(want.values()))
+    weight, tree = 0, {i: i for i in range(n)}
+    for e in np.argsort(w, kind="stable").tolist():  # Kruskal
+        if tree[int(u[e])] != tree[int(v[e])]:
+            weight, gone, into = weight + int(w[e]), tree[int(u[e])], tree[int(v[e])]
+            tree = {i: into if r == gone else r for i, r in tree.items()}
+    assert int(w[taken].sum()) == weight
+
+
 def test_sketches_take_one_python_process_a_task(spark, monkeypatch):
     """A filter in a Python step of its own would double the workers that each executor holds from then on."""
     plans, made = [], links._sketched_pairs
