@@ -24,7 +24,7 @@ RANGE_KEYS = 1 << 20
 #: Members of a bucket, at most, for a task to hold the sketches of all its pairs against each other.
 PAIRED = 1024
 #: Bits of a sketch at least and, of large sets, at most; a longer one rules out more pairs, a shorter one is no less exact.
-SKETCH_BITS = 512
+SKETCH_BITS = 256
 SKETCH_MOST = 1 << 16
 
 
@@ -243,11 +243,11 @@ def _prefix_pairs(sets: DataFrame, shingles: Callable[[pa.Array], list[np.ndarra
 def _sketches(column: pa.Array, shingles: Callable[[pa.Array], list[np.ndarray]]) -> tuple[np.ndarray, list[bytes]]:
     """The sizes of the sets of a column, and for each set the parities of how many of its shingles fall on each place of its sketch.
 
-    The places are a power of two: ``SKETCH_BITS`` at least, and twice the shingles up to ``SKETCH_MOST``.
+    The places are a power of two: ``SKETCH_BITS`` at least, and no fewer than the shingles up to ``SKETCH_MOST``.
     """
     found = shingles(column)
     sizes = np.array([len(s) for s in found], np.int64)
-    width = np.minimum(np.maximum(SKETCH_BITS, 2 ** np.ceil(np.log2(2 * np.maximum(sizes, 1))).astype(np.int64)), max(SKETCH_BITS, SKETCH_MOST))
+    width = np.minimum(np.maximum(SKETCH_BITS, 2 ** np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64)), max(SKETCH_BITS, SKETCH_MOST))
     ends = np.cumsum(width)
     place = np.repeat(ends - width, sizes) + (np.concatenate(found).view(np.uint64) % np.repeat(width, sizes).astype(np.uint64)).astype(np.int64)
     odd = np.packbits(np.bincount(place, minlength=int(ends[-1])).astype(np.uint8) & 1).tobytes()
