@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import content_id, cosine, normal_name, slug, speaker_id
 from ..functions.text_udfs import normal_surface
+from . import nearest
 
 #: Cosine from which an entity matches, and below which it is new, by type.
 THRESHOLDS = {"organization": (0.86, 0.62), "person": (0.86, 0.62), "concept": (0.90, 0.70), "work": (0.90, 0.70)}
@@ -102,27 +104,33 @@ def merge_aliases(entities: DataFrame) -> DataFrame:
     return first.groupBy("canonical_id").agg(F.transform(F.array_sort(F.collect_list("a")), lambda s: s["alias"]).alias("aliases"))
 
 
-def cluster_forms(forms: DataFrame, threshold: float = 0.85) -> DataFrame:
+def cluster_forms(forms: DataFrame, threshold: float = 0.85, block: int = nearest.BLOCK) -> DataFrame:
     """Greedy clusters of distinct forms (entity_type, form, vector): longest first, each joins the nearest seed at the
-    threshold (of equals the later), else it is a seed. Sequential by definition; a type is one group of distinct forms."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(group.itertuples(), key=lambda r: (-len(r.form), r.form))
-        seeds, out = [], []
-        for r in rows:
-            v = [float(x) for x in r.vector]
-            size = math.sqrt(sum(x * x for x in v))
-            best, found = threshold, None
-            for form, w, other in seeds:
-                score = sum(x * y for x, y in zip(v, w, strict=True)) / (size * other) if size and other else 0.0
-                if score >= best:
-                    best, found = score, form
-            if found is None:
-                seeds.append((r.form, v, size))
-            out.append((r.entity_type, r.form, found or r.form))
-        return pd.DataFrame(out, columns=["entity_type", "form", "seed"])
-
-    clustered = forms.groupBy("entity_type").applyInPandas(run, "entity_type string, form string, seed string")
+    threshold (of equals the later), else it is a seed. Sequential by definition, in rounds: the next ``block`` forms of every
+    type meet the seeds so far, each part of them in a task of its own, then each other.
+    """
+    rounds = -(-(forms.groupBy("entity_type").count().agg(F.max("count")).first()[0] or 0) // block)
+    order = Window.partitionBy("entity_type").orderBy(F.desc(F.length("form")), "form")
+    doubles = F.col("vector").cast("array<double>").alias("vector")
+    numbered = forms.select(F.col("entity_type").cast("string").alias("entity_type"), "form", doubles).withColumn("at", F.row_number().over(order) - 1)
+    if rounds < 2:
+        settled = [numbered.groupBy("entity_type").applyInArrow(nearest.settle_first(threshold), nearest.SETTLED)]
+    else:
+        numbered, settled = nearest.kept(numbered), []
+        for k in range(rounds):
+            here = numbered.where(F.col("at").between(k * block, (k + 1) * block - 1))
+            if k == 0:
+                out = here.groupBy("entity_type").applyInArrow(nearest.settle_first(threshold), nearest.SETTLED)
+            else:
+                # a quarter of the block against the seeds of one round
+                asked = here.select("entity_type", "at", "vector", F.pmod("at", F.lit(4)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("round"))
+                seeds = functools.reduce(DataFrame.unionByName, [s.where("vector is not null").withColumn("round", F.lit(j)) for j, s in enumerate(settled)])
+                seeds = seeds.select("entity_type", "form", "at", "vector", F.explode(F.array(*map(F.lit, range(4)))).alias("part"), "round")
+                keys = ["entity_type", "round", "part"]
+                found = asked.groupBy(*keys).cogroup(seeds.groupBy(*keys)).applyInArrow(nearest.nearest_seeds(threshold), nearest.FOUND)
+                out = here.groupBy("entity_type").cogroup(found.groupBy("entity_type")).applyInArrow(nearest.settle(threshold), nearest.SETTLED)
+            settled.append(nearest.kept(out))
+    clustered = functools.reduce(DataFrame.unionByName, settled).select("entity_type", "form", "seed")
     return clustered.withColumn("canonical_id", content_id("ent", "entity_type", "seed", digits=12))
 
 
