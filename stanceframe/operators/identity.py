@@ -78,10 +78,14 @@ def recurring_guests(appearances: DataFrame, candidates: DataFrame | None = None
 def pick_candidates(entities: DataFrame, candidates: DataFrame, hints: DataFrame) -> DataFrame:
     """(entity_id, qid): of ranked candidates (name, rank, qid, description) the first whose description holds a hint
     (entity_id, hint), else the first. Only people and organizations are looked up."""
-    rows = entities.where("entity_type in ('person', 'organization')").join(candidates, "name")
-    asked = hints.groupBy("entity_id").agg(F.collect_set(F.lower("hint")).alias("hints"))
-    hit = F.exists(F.coalesce("hints", F.array().cast("array<string>")), lambda h: F.instr(F.lower(F.col("description")), h) > 0)
-    return rows.join(asked, "entity_id", "left").groupBy("entity_id").agg(F.min_by("qid", F.struct(~hit, "rank")).alias("qid"))
+    people = entities.where("entity_type in ('person', 'organization')").select("entity_id", "name")
+    # what a name, and a name with a hint, choose does not depend on the entity: none meets all candidates of its name
+    told = candidates.groupBy("name", F.lower("description").alias("description")).agg(F.min(F.struct("rank", "qid")).alias("first"))
+    asked = people.join(hints.select("entity_id", F.lower("hint").alias("hint")).where("hint is not null").distinct(), "entity_id")
+    hits = asked.select("name", "hint").distinct().join(told, "name").where(F.instr("description", F.col("hint")) > 0).groupBy("name", "hint").agg(F.min("first").alias("first"))
+    chosen = asked.join(hits, ["name", "hint"]).select("entity_id", F.lit(0).alias("miss"), "first")
+    others = people.join(told.groupBy("name").agg(F.min("first").alias("first")), "name").select("entity_id", F.lit(1).alias("miss"), "first")
+    return chosen.unionByName(others).groupBy("entity_id").agg(F.min(F.struct("miss", "first")).alias("best")).select("entity_id", F.col("best.first.qid").alias("qid"))
 
 
 def canonical_speakers(names: DataFrame) -> DataFrame:

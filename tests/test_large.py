@@ -33,3 +33,13 @@ def test_greedy_clusters_in_rounds(spark):
         assert {(r.entity_type, r.form): r.seed for r in identity.cluster_forms(frame, 0.85, block=block).collect()} == greedy(forms, 0.85)
     with pytest.raises(Exception, match="differ in size"):
         identity.cluster_forms(frame.union(spark.createDataFrame([("type0", "odd", [1.0])], frame.schema))).collect()
+
+
+def test_candidates_are_picked_once_a_name(spark):
+    ranked = [(f"name {i % 2}", i, f"Q{i}", "An Economist" if i == 300 else None if i == 0 else f"somebody {i % 3}") for i in range(400)]
+    c = spark.createDataFrame(ranked, "name string, rank int, qid string, description string")
+    who = spark.createDataFrame([(i, f"name {i % 2}", "person") for i in range(400)] + [(400, "unknown", "person"), (401, "name 1", "work")], "entity_id int, name string, entity_type string")
+    hints = spark.createDataFrame([(i, "ECONOMIST") for i in range(0, 400, 4)] + [(2, None), (6, "nobody"), (6, "body 2"), (10, None)], "entity_id int, hint string")
+    picked = identity.pick_candidates(who, c, hints)
+    # a description that is missing holds no hint
+    assert {r.entity_id: r.qid for r in picked.collect()} == {i: "Q300" if i % 4 == 0 else "Q2" if i == 6 else f"Q{i % 2}" for i in range(400)}
