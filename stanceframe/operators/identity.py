@@ -31,7 +31,7 @@ def cascade(mentions: DataFrame, entities: DataFrame, thresholds: Mapping[str, t
     qids = entities.where("qid is not null").groupBy("entity_type", "qid").agg(F.min_by("canonical_id", "insert_seq").alias("by_qid"))
     out = mentions.join(qids, ["entity_type", "qid"], "left").join(exact_matches(mentions, entities).withColumnRenamed("canonical_id", "by_name"), "mention_id", "left")
     left = out.where("by_qid is null and by_name is null").select("mention_id", "entity_type", "vector")
-    near = left.join(entities.where("embedding is not null"), "entity_type").withColumn("score", cosine("vector", "embedding"))
+    near = nearest.nearest_by_type(left, entities.select("entity_type", "canonical_id", "insert_seq", F.col("embedding").cast("array<double>").alias("embedding")), 1, counted=mentions)
     best = near.groupBy("mention_id").agg(F.max_by(F.struct("canonical_id", "score"), F.struct("score", -F.col("insert_seq"))).alias("best"))
     limits = F.create_map(*[x for t, (hi, lo) in thresholds.items() for x in (F.lit(t), F.struct(F.lit(hi).alias("hi"), F.lit(lo).alias("lo")))])
     out = out.join(best, "mention_id", "left").withColumn("limit", F.element_at(limits, F.col("entity_type")))

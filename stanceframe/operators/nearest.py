@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Vectors of a block, rows of one product, and how far a product may lie from the score it stands for (float64: 1e-14).
 BLOCK, ROWS, SLACK = 16_384, 256, 1e-9
@@ -143,3 +145,56 @@ def settle_first(threshold: float) -> Callable[[pa.Table], pa.Table]:
     """As :func:`settle` where no seeds are before the block."""
     run = settle(threshold)
     return lambda forms: run(forms, None)
+
+
+def scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of rows, summed in order as the column expression does."""
+    with np.errstate(all="ignore"):
+        dot, aa, bb = (np.add.accumulate(x, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a)) for x in (a * b, a * a, b * b))
+        n = np.sqrt(aa) * np.sqrt(bb)
+        return np.where(n == 0, 0.0, dot / n)
+
+
+def _best_pairs(a: np.ndarray, b: np.ndarray, seq: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of ``a`` the k rows of ``b`` of the greatest (score, -seq): indices of both, and the score. NaN is greatest."""
+    ua, ub, out = units(a), units(b), []
+    with np.errstate(all="ignore"):
+        odd_a, odd_b = (~np.isfinite((x * x).sum(axis=1)) for x in (a, b))  # no product says what these score
+    for lo in range(0, len(a), ROWS):
+        near = ua[lo : lo + ROWS] @ ub.T
+        near[odd_a[lo : lo + ROWS]] = near[:, odd_b] = np.inf
+        floor = near.max(axis=1) if k == 1 else np.partition(near, -min(k, len(b)), axis=1)[:, -min(k, len(b))]
+        i, j = np.nonzero(near >= np.where(np.isinf(floor), -np.inf, floor - SLACK)[:, None])
+        score = np.concatenate([scores(a[lo + i[s : s + BLOCK]], b[j[s : s + BLOCK]]) for s in range(0, len(i), BLOCK)])
+        order = np.lexsort((seq[j], -np.where(np.isnan(score), np.inf, score), i))
+        first = np.searchsorted(i[order], i[order], side="left")
+        order = order[np.arange(len(order)) - first < k]
+        out.append((lo + i[order], j[order], score[order]))
+    return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def nearest_by_type(mentions: DataFrame, entities: DataFrame, k: int, block: int = BLOCK, counted: DataFrame | None = None) -> DataFrame:
+    """Mentions (mention_id, entity_type, vector) with entities of their type (embedding, insert_seq) and the score: the k
+    nearest at least, ties in insertion order, for the k nearest of each block of entities are among these rows.
+    ``counted`` holds the mentions, and perhaps others, where counting it costs less."""
+    m, e = mentions.where("entity_type is not null and vector is not null"), entities.where("entity_type is not null and embedding is not null")
+    asked, some = (max(1, -(-x.count() // block)) for x in (mentions if counted is None else counted, entities))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    columns, more = m.columns, [c for c in entities.columns if c != "entity_type"]
+    schema = T.StructType([*m.schema.fields, *[e.schema[c] for c in more], T.StructField("score", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        i = j = np.zeros(0, dtype=np.int64)
+        score = np.zeros(0)
+        if len(left) and len(right):
+            a, b = matrix(left["vector"]), matrix(right["embedding"])
+            if a.shape[1] != b.shape[1]:
+                raise ValueError("vectors differ in size")
+            i, j, score = _best_pairs(a, b, pc.rank(right["insert_seq"], tiebreaker="dense").to_numpy().astype(np.int64), k)
+        left, right = left.select(columns).take(i), right.select(more).take(j)
+        return pa.table([*left.columns, *right.columns, pa.array(score)], names=[*columns, *more, "score"])
+
+    keys = ["entity_type", "_asked", "_some"]
+    dealt = m.withColumn("_asked", part("mention_id", asked)).withColumn("_some", every(some)).groupBy(*keys)
+    return dealt.cogroup(e.withColumn("_some", part("insert_seq", some)).withColumn("_asked", every(asked)).groupBy(*keys)).applyInArrow(run, schema)

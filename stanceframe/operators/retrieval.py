@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cosine, tokens
+from . import nearest
 
 #: BM25's k1 and b, the constant of reciprocal ranks.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -28,7 +29,7 @@ def cosine_topk(items: DataFrame, query: Sequence[float], k: int, *, id_col: str
 
 def topk_by_type(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFrame:
     """For each mention (mention_id, entity_type, vector) the k nearest entities of its type; ties in insertion order."""
-    near = mentions.join(entities.where("embedding is not null"), "entity_type").withColumn("score", cosine("vector", "embedding"))
+    near = nearest.nearest_by_type(mentions, entities, max(1, k))
     order = Window.partitionBy("mention_id").orderBy(F.desc("score"), "insert_seq")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -5,7 +5,11 @@ import random
 
 import pytest
 
-from stanceframe.operators import identity
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from stanceframe.functions.scalars import cosine
+from stanceframe.operators import identity, nearest
 
 
 def greedy(forms, threshold):
@@ -43,3 +47,23 @@ def test_candidates_are_picked_once_a_name(spark):
     picked = identity.pick_candidates(who, c, hints)
     # a description that is missing holds no hint
     assert {r.entity_id: r.qid for r in picked.collect()} == {i: "Q300" if i % 4 == 0 else "Q2" if i == 6 else f"Q{i % 2}" for i in range(400)}
+
+
+def test_nearest_by_type_in_blocks(spark):
+    rng = random.Random(6)
+    vector = lambda: [rng.choice([-1.0, 0.0, 0.0, 1.0]) for _ in range(3)]
+    e = spark.createDataFrame([(f"e{i}", f"type{i % 2}", vector(), i) for i in range(90)] + [("none", "type0", None, 90), ("odd", None, [0.0] * 3, 91)], "canonical_id string, entity_type string, embedding array<double>, insert_seq int")
+    m = spark.createDataFrame([(i, f"type{i % 3}", vector()) for i in range(30)] + [(30, None, [1.0] * 3)], "mention_id int, entity_type string, vector array<double>")
+    order = Window.partitionBy("mention_id").orderBy(F.desc("score"), "insert_seq")
+    pairs = m.join(e.where("embedding is not null"), "entity_type").withColumn("score", cosine("vector", "embedding"))
+    for k in (1, 4):
+        top = lambda rows: {tuple(r) for r in rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("mention_id", "canonical_id", "rank", "score").collect()}  # noqa: B023, E731
+        for block in (11, 1000):
+            near = nearest.nearest_by_type(m, e, k, block)
+            assert top(near) == top(pairs) and near.groupBy("mention_id").count().where(F.col("count") > k * -(-e.count() // block)).count() == 0
+
+
+def test_a_mention_without_a_vector_is_new(spark):
+    e = spark.createDataFrame([("e1", "person", "Ann", None, [1.0, 0.0], None, 1)], "canonical_id string, entity_type string, canonical_name string, qid string, embedding array<double>, aliases array<string>, insert_seq int")
+    m = spark.createDataFrame([(1, "person", "x", None, None), (2, "person", "y", None, [1.0, 0.0])], "mention_id int, entity_type string, name string, qid string, vector array<double>")
+    assert {r.mention_id: (r.canonical_id, r.tier) for r in identity.cascade(m, e).collect()} == {1: (None, "new"), 2: ("e1", "embedding")}
