@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.scalars import cosine, tokens
-from . import nearest
+from . import lexical, nearest
 
 #: BM25's k1 and b, the constant of reciprocal ranks.
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -34,28 +37,28 @@ def topk_by_type(mentions: DataFrame, entities: DataFrame, k: int = 5) -> DataFr
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, *, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, length)."""
-    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
-    return words.select("id", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, *, id_col: str = "claim_id", text_col: str = "text", top: int | None = None) -> DataFrame:
     """(query_id, id, score) of documents that share a term with a query (query_id, query).
 
-    Corpus statistics are those of ``docs`` as given, so filter first. A term that a query repeats counts each time.
-    Only postings of query terms are shuffled.
+    Corpus statistics are those of ``docs`` as given, so filter first; they are read when this is called. A term that a query
+    repeats counts each time. Queries are sent to all tasks and documents are scored where they are read. With ``top`` only
+    what may be among the best of a query is given: by the score to 9 decimals, then the id.
     """
-    words = docs.select(F.col(id_col).alias("id"), tokens(text_col).alias("words"))
-    stats = words.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("words")).alias("avgdl")).withColumn("avgdl", F.when(F.coalesce("avgdl", F.lit(0.0)) == 0, 1.0).otherwise(F.col("avgdl")))
-    asked = queries.select("query_id", F.explode(tokens("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    found = postings(docs, id_col=id_col, text_col=text_col).join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.greatest(F.lit(0.0), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-    gain = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
-    # one row of statistics: its size is fixed
-    scored = found.join(df, "term").join(asked, "term").crossJoin(F.broadcast(stats)).withColumn("gain", F.col("qtf") * gain)
-    return scored.groupBy("query_id", "id").agg(F.sum("gain").alias("score"))
+    asked: dict = {}
+    for r in queries.select("query_id", tokens("query").alias("words")).collect():
+        asked.setdefault(r.query_id, Counter()).update(r.words or ())
+    terms = sorted(set().union(*asked.values()))
+    kind, id_kind = queries.schema["query_id"].dataType, docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("id", id_kind), T.StructField("score", T.DoubleType())])
+    if not terms:
+        return docs.sparkSession.createDataFrame([], schema)
+    at = {t: i for i, t in enumerate(terms)}
+    wanted = [(q, [(at[t], n) for t, n in sorted(c.items())]) for q, c in asked.items()]
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    sums = {r.term: r.n for r in rows.mapInArrow(lexical.statistics(terms), "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    n_docs, avgdl = sums.get(lexical.DOCS, 0), sums.get(lexical.LENGTH, 0) / max(1, sums.get(lexical.TEXTS, 0)) or 1.0
+    weights = [idf(n_docs, sums.get(i, 0)) for i in range(len(terms))]
+    return rows.mapInArrow(lexical.scored(terms, wanted, weights, avgdl, K1, B, top, to_arrow_type(kind)), schema)
 
 
 def bm25_ranking(docs: DataFrame, query: str, *, id_col: str = "claim_id", text_col: str = "text") -> DataFrame:

@@ -313,7 +313,7 @@ def bm25_topk(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    scored = retrieval.bm25(docs, asked, id_col="doc_id").select("query_id", F.col("id").alias("doc_id"), *nine("score"))
+    scored = retrieval.bm25(docs, asked, id_col="doc_id", top=10).select("query_id", F.col("id").alias("doc_id"), *nine("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 10")
 

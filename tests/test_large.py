@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 
@@ -9,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stanceframe.functions.scalars import cosine
-from stanceframe.operators import identity, nearest
+from stanceframe.operators import identity, lexical, nearest, retrieval
 
 
 def greedy(forms, threshold):
@@ -67,3 +68,27 @@ def test_a_mention_without_a_vector_is_new(spark):
     e = spark.createDataFrame([("e1", "person", "Ann", None, [1.0, 0.0], None, 1)], "canonical_id string, entity_type string, canonical_name string, qid string, embedding array<double>, aliases array<string>, insert_seq int")
     m = spark.createDataFrame([(1, "person", "x", None, None), (2, "person", "y", None, [1.0, 0.0])], "mention_id int, entity_type string, name string, qid string, vector array<double>")
     assert {r.mention_id: (r.canonical_id, r.tier) for r in identity.cascade(m, e).collect()} == {1: (None, "new"), 2: ("e1", "embedding")}
+
+
+def test_bm25_scores_documents_where_they_are_read(spark, monkeypatch):
+    words = ["apple", "tree", "the", "x1", "zed"]
+    rng = random.Random(7)
+    texts = [" ".join(rng.choice(words) + rng.choice(["", ".", "é", "-B"]) for _ in range(rng.randint(0, 9))) for _ in range(60)] + ["", None, "ÀPPLE apple", "the"] + ["tree Tree"] * 30
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    q = spark.createDataFrame([("a", "the Apple, the tree"), ("b", "zed zed"), ("c", "unknown"), ("d", None), ("e", "X1 b")], "query_id string, query string")
+    known = {i: re.findall("[a-z0-9]+", t.lower()) for i, t in enumerate(texts) if t is not None}
+    mean, expected = sum(map(len, known.values())) / len(known), {}
+    for query, asked in (("a", ["the", "apple", "the", "tree"]), ("b", ["zed", "zed"]), ("e", ["x1", "b"])):
+        for i, t in known.items():
+            parts = [retrieval.idf(len(texts), sum(w in x for x in known.values())) * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / mean)) for w in asked if w in t]
+            if parts:
+                expected[query, i] = round(sum(parts), 9)
+    for cells in (lexical.CELLS, 40):
+        monkeypatch.setattr(lexical, "CELLS", cells)
+        scored = retrieval.bm25(d, q, id_col="doc_id")
+        assert {(r.query_id, r.id): round(r.score, 9) for r in scored.collect()} == expected
+        assert "hashpartitioning" not in scored._jdf.queryExecution().toString()
+        best = {}
+        for r in retrieval.bm25(d, q, id_col="doc_id", top=4).collect():
+            best.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
+        assert {k: sorted(v)[:4] for k, v in best.items()} == {k: sorted((-s, i) for (q, i), s in expected.items() if q == k)[:4] for k in ("a", "b", "e")}
