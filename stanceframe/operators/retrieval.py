@@ -6,6 +6,7 @@ import math
 from collections import Counter
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,32 +93,78 @@ def graph_distance(seeds: DataFrame, neighbours: DataFrame, depth: int = 1) -> D
     return reached
 
 
+def _walk(seeds: DataFrame, neighbours: DataFrame, universe: DataFrame, depth: int) -> DataFrame:
+    inside = neighbours.join(universe.select("id"), "id", "left_semi").join(universe.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
+    return graph_distance(seeds.join(universe.select("id"), "id", "left_semi"), inside, depth)
+
+
 def graph_ranking(seeds: DataFrame, neighbours: DataFrame, universe: DataFrame, depth: int = 1) -> DataFrame:
     """Nodes of the universe (id) by hop, then id; paths stay inside it."""
-    inside = neighbours.join(universe.select("id"), "id", "left_semi").join(universe.select(F.col("id").alias("neighbour")), "neighbour", "left_semi")
-    reached = graph_distance(seeds.join(universe.select("id"), "id", "left_semi"), inside, depth)
-    return reached.withColumn("rank", F.row_number().over(Window.orderBy("hop", "id")))
+    return _walk(seeds, neighbours, universe, depth).withColumn("rank", F.row_number().over(Window.orderBy("hop", "id")))
+
+
+def _fused_best(lists: Sequence[DataFrame], k: int) -> list[tuple]:
+    """(id, fused score, rank in each list or None) of the k best by reciprocal ranks over lists (id, score), each ordered by
+    score, then id; ties by id. Exact without ranking the lists.
+
+    The k first of a list have 1 / (RRF_K + k) at least, and what is among the first n of none of L lists has less than
+    L / (RRF_K + n): so from n = L * (RRF_K + k) on the best are among the first n, and for them the rows before them are counted.
+    """
+    n = len(lists) * (RRF_K + k)
+    tops = [[(r.id, r.score) for r in one.orderBy(F.desc("score"), "id").limit(n).collect()] for one in lists]
+    places = [{i: at for at, (i, _) in enumerate(top, 1)} for top in tops]
+    some = set().union(*places)
+    least = sorted((sum(1 / (RRF_K + p[i]) for p in places if i in p) for i in some), reverse=True)
+    bar = least[k - 1] if len(least) >= k else 0.0
+    # in a list that holds more than its first n, one that is not among them is behind them
+    most = lambda i: sum(1 / (RRF_K + p.get(i, n + 1)) for p, top in zip(places, tops, strict=True) if i in p or len(top) == n)
+    some = [i for i in some if most(i) >= bar - 1e-12]
+    ranks = [_places(one, [i for i in some if i not in p], p) if len(top) == n else p for one, top, p in zip(lists, tops, places, strict=True)]
+    parts = lambda i: [r.get(i) for r in ranks]
+    fused = [(i, sum(1 / (RRF_K + r) for r in parts(i) if r is not None), *parts(i)) for i in some]
+    return sorted(fused, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def _places(scored: DataFrame, ids: list, known: dict) -> dict:
+    """The ranks of these ids in (id, score) by score, then id, beside known ones: how many rows are before each, and one."""
+    if not ids:
+        return known
+    asked = scored.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([scored.schema["id"]]))
+    at = scored.join(F.broadcast(asked), "id", "left_semi").select(F.col("id").alias("asked"), F.col("score").alias("level")).collect()
+    if not at:
+        return known
+    # their number is bounded by the parameters
+    own = F.broadcast(scored.sparkSession.createDataFrame([tuple(r) for r in at], T.StructType([T.StructField("asked", scored.schema["id"].dataType), T.StructField("level", scored.schema["score"].dataType)])))
+    before = (F.col("score") > F.col("level")) | ((F.col("score") == F.col("level")) & (F.col("id") < F.col("asked")))
+    counted = {r.asked: r.n for r in scored.join(own, before).groupBy("asked").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return known | {r.asked: counted.get(r.asked, 0) + 1 for r in at}
 
 
 def hybrid(claims: DataFrame, neighbours: DataFrame, query: str, vector: Sequence[float], *, top_k: int = 10, seed_k: int = 5, depth: int = 1, traverse: bool = True) -> DataFrame:
     """Claims (claim_id, text, embedding; filter by time first) by fused rank, with the rank in each signal.
 
     Every claim has a lexical rank, and a semantic one if it has a vector. The best ``seed_k`` of these two start the walk over the graph.
+    The search runs when this is called; no list is ranked as a whole.
     """
     if not query.strip() or top_k < 1:
         raise ValueError("a search needs a query and a positive top_k")
-    semantic, lexical = cosine_ranking(claims.where("embedding is not null"), vector), bm25_ranking(claims, query)
-    rankings = [semantic, lexical]
-    graph = None
-    if traverse:
-        seeds = fuse(rankings).orderBy(F.desc("score"), "id").limit(seed_k)
-        graph = graph_ranking(seeds, neighbours, claims.select(F.col("claim_id").alias("id")), depth)
-        rankings.append(graph)
-    out = fuse(rankings)
-    for name, ranking in (("semantic_rank", semantic), ("lexical_rank", lexical), ("graph_rank", graph)):
-        ranks = ranking.select("id", F.col("rank").alias(name)) if ranking is not None else None
-        out = out.join(ranks, "id", "left") if ranks is not None else out.withColumn(name, F.lit(None).cast("int"))
-    return out.withColumnRenamed("id", "claim_id").orderBy(F.desc("score"), "claim_id").limit(top_k)
+    spark, key = claims.sparkSession, claims.schema["claim_id"].dataType
+    ids = claims.select(F.col("claim_id").alias("id"))
+    near = claims.where("embedding is not null").select(F.col("claim_id").alias("id"), cosine("embedding", F.lit([float(x) for x in vector])).alias("score"))
+    found = bm25(claims, spark.createDataFrame([(0, query)], "query_id int, query string"), top=None).select("id", "score")
+    whole = ids.join(found, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    lists = [x.persist(StorageLevel.DISK_ONLY) for x in (near, whole)]
+    try:
+        if traverse:
+            seeds = spark.createDataFrame([r[:1] for r in _fused_best(lists, seed_k)], T.StructType([T.StructField("id", key)])) if seed_k > 0 else ids.limit(0)
+            lists.append(_walk(seeds, neighbours, ids, depth).select("id", (-F.col("hop")).alias("score")).persist(StorageLevel.DISK_ONLY))
+        best = _fused_best(lists, top_k)
+    finally:
+        for x in lists:
+            x.unpersist()
+    names = ["semantic_rank", "lexical_rank", "graph_rank"]
+    schema = T.StructType([T.StructField("claim_id", key), T.StructField("score", T.DoubleType()), *[T.StructField(n, T.IntegerType()) for n in names]])
+    return spark.createDataFrame([r if traverse else (*r, None) for r in best], schema)
 
 
 def provenance(claims: DataFrame, ref: str) -> DataFrame:

@@ -92,3 +92,20 @@ def test_bm25_scores_documents_where_they_are_read(spark, monkeypatch):
         for r in retrieval.bm25(d, q, id_col="doc_id", top=4).collect():
             best.setdefault(r.query_id, []).append((-round(r.score, 9), r.id))
         assert {k: sorted(v)[:4] for k, v in best.items()} == {k: sorted((-s, i) for (q, i), s in expected.items() if q == k)[:4] for k in ("a", "b", "e")}
+
+
+def test_hybrid_search_counts_ranks_without_a_sort_of_all(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["apple", "pie", "tree", "zed"]) for _ in range(rng.randint(0, 5))), [rng.choice([0.0, 1.0, 2.0]), 1.0] if i % 3 else None) for i in range(900)]
+    c = spark.createDataFrame(rows, "claim_id bigint, text string, embedding array<double>")
+    near = spark.createDataFrame([(i, (i * 7 + 1) % 900) for i in range(900)], "id bigint, neighbour bigint")
+    lists = [retrieval.cosine_ranking(c.where("embedding is not null"), [1.0, 0.2]), retrieval.bm25_ranking(c, "pie tree")]
+    seeds = retrieval.fuse(lists).orderBy(F.desc("score"), "id").limit(3)
+    lists.append(retrieval.graph_ranking(seeds, near, c.select(F.col("claim_id").alias("id")), 2))
+    ranks = [{r.id: r["rank"] for r in one.collect()} for one in lists]
+    best = sorted(((-sum(1 / (60 + r[i]) for r in ranks if i in r), i) for i in range(900)))[:4]
+    got = retrieval.hybrid(c, near, "pie tree", [1.0, 0.2], top_k=4, seed_k=3, depth=2)
+    assert [(r.claim_id, round(r.score, 12), r.semantic_rank, r.lexical_rank, r.graph_rank) for r in got.collect()] == [(i, round(-s, 12), *(r.get(i) for r in ranks)) for s, i in best]
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
+    plain = retrieval.hybrid(c.limit(2), near, "pie", [1.0, 0.2], top_k=4, traverse=False).collect()
+    assert len(plain) == 2 and all(r.graph_rank is None for r in plain)
