@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import clamp
-from ..functions.text_udfs import match_score
+from ..functions.text_udfs import BestMatch
 from ..schemas import ENTITY_TYPES, STANCES
 from .predicates import PREDICATES, map_predicate
 
@@ -58,12 +60,22 @@ def ground_claims(claims: DataFrame, segments: DataFrame, threshold: float = 0.4
 
     A score under the threshold leaves a claim as it is; ties go to the earlier segment.
     """
-    s = segments.select("episode_id", "seg_idx", F.col("speaker").alias("s_label"), F.col("text").alias("s_text"), F.col("t_start").alias("s0"), F.col("t_end").alias("s1"))
-    scored = claims.join(s, "episode_id").withColumn("score", match_score("object", "s_text"))
-    best = scored.groupBy("claim_seq").agg(F.max_by(F.struct("score", "s_label", "s0", "s1", "seg_idx"), F.struct("score", -F.col("seg_idx"))).alias("b"))
-    out = claims.join(best, "claim_seq", "left").withColumn("grounded", F.coalesce(F.col("b.score") >= threshold, F.lit(False)))
+    s = segments.where("episode_id is not null").select("episode_id", "seg_idx", "text", F.struct(F.col("speaker").alias("s_label"), F.col("t_start").alias("s0"), F.col("t_end").alias("s1")).alias("b"))
+    b, columns = s.schema["b"], claims.columns
+    schema = T.StructType([*claims.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("b", b.dataType)])
+
+    def run(some: pa.Table, said: pa.Table) -> pa.Table:
+        said = said.sort_by("seg_idx")
+        best = BestMatch(said["text"].to_pylist())
+        found = [best.of(x) if len(said) else (None, None) for x in some["object"].to_pylist()]
+        spans = said["b"].combine_chunks().take(pa.array([i for _, i in found], pa.int64()))
+        return pa.table([*some.select(columns).columns, pa.array([x for x, _ in found], pa.float64()), spans], names=[*columns, "score", "b"])
+
+    # an episode is the unit of work: its texts are sent once, not once a claim
+    out = claims.groupBy("episode_id").cogroup(s.groupBy("episode_id")).applyInArrow(run, schema)
+    out = out.withColumn("grounded", F.coalesce(F.col("score") >= threshold, F.lit(False)))
     moved = {"t_start": "b.s0", "t_end": "b.s1", "label": "b.s_label"}
-    return out.select(*[F.when(F.col("grounded"), F.col(moved[c])).otherwise(F.col(c)).alias(c) if c in moved else F.col(c) for c in claims.columns], "grounded", F.col("b.score").alias("score"))
+    return out.select(*[F.when(F.col("grounded"), F.col(moved[c])).otherwise(F.col(c)).alias(c) if c in moved else F.col(c) for c in claims.columns], "grounded", "score")
 
 
 def stamp_speakers(claims: DataFrame, resolution: DataFrame) -> DataFrame:

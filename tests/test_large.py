@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from stanceframe.functions import text_udfs
 from stanceframe.functions.scalars import cosine
-from stanceframe.operators import identity, lexical, nearest, retrieval
+from stanceframe.operators import extraction, identity, lexical, nearest, retrieval
 
 
 def greedy(forms, threshold):
@@ -109,3 +110,29 @@ def test_hybrid_search_counts_ranks_without_a_sort_of_all(spark):
     assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()
     plain = retrieval.hybrid(c.limit(2), near, "pie", [1.0, 0.2], top_k=4, traverse=False).collect()
     assert len(plain) == 2 and all(r.graph_rank is None for r in plain)
+
+
+def test_grounding_scores_only_what_can_win():
+    rng = random.Random(9)
+    text = lambda: "".join(rng.choice("abc é.") for _ in range(rng.choice([0, 1, 3, 8, 30, 210])))
+    for _ in range(60):
+        said = [text() for _ in range(6)] + ["ab" * 120, None, "é." * rng.choice([1, 150])]
+        said += [(rng.choice(said) or "").upper()]
+        rng.shuffle(said)
+        best = text_udfs.BestMatch(said)
+        for evidence in [*said, text(), "cab a"]:
+            score, at = max((text_udfs.match_score_text(evidence, t), -i) for i, t in enumerate(said))
+            assert best.of(evidence) == (score, -at)
+    turns = [f"turn {i} of many that are much alike" for i in range(200)]
+    best = text_udfs.BestMatch(turns)
+    assert [best.of(t) for t in turns] == [(1.0, i) for i in range(200)] and not best.matchers
+    # brackets cannot match a word: only the first text is compared
+    other = text_udfs.BestMatch(["rates will rise soon", *["[]{}" * i for i in range(1, 50)]])
+    assert other.of("rates will rise")[1] == 0 and len(other.matchers) == 1
+
+
+def test_a_claim_of_no_episode_stays(spark):
+    s = spark.createDataFrame([("e", 0, "A", "rates will rise", 0.0, 5.0), (None, 1, "B", "rates will rise", 5.0, 9.0)], "episode_id string, seg_idx int, speaker string, text string, t_start double, t_end double")
+    c = spark.createDataFrame([(1, "e", "rates will rise"), (2, "f", "rates will rise"), (3, None, "rates will rise"), (4, "e", None)], "claim_seq int, episode_id string, object string").selectExpr("*", "190D AS t_start", "200D AS t_end", "'S99' AS label")
+    got = {r.claim_seq: (r.t_start, r.label, r.grounded, r.score) for r in extraction.ground_claims(c, s).collect()}
+    assert got == {1: (0.0, "A", True, 1.0), 2: (190.0, "S99", False, None), 3: (190.0, "S99", False, None), 4: (190.0, "S99", False, 0.0)}
